@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from tessera.llm import quality_rules
+from tessera.llm import decontam, quality_rules, secrets
 
 QUERIES = {
+    "op2_secret_scans": secrets.op2_secret_scans,
+    "op3_decontamination": decontam.op3_decontamination,
     "op6_quality_rules": quality_rules.op6_quality_rules,
 }
 
 ORACLE = {
+    "op2_secret_scans": secrets.ORACLE_SQL,
+    "op3_decontamination": decontam.ORACLE_SQL,
     "op6_quality_rules": quality_rules.ORACLE_SQL,
 }
