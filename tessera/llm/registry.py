@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from tessera.llm import decontam, quality_rules, secrets
+from tessera.llm import decontam, quality_rules, secrets, sentencepiece_viterbi, token_counts
 
 QUERIES = {
+    "op1_token_counts": token_counts.op1_token_counts,
     "op2_secret_scans": secrets.op2_secret_scans,
     "op3_decontamination": decontam.op3_decontamination,
     "op6_quality_rules": quality_rules.op6_quality_rules,
+    "op8_sentencepiece": sentencepiece_viterbi.op8_sentencepiece,
 }
 
 ORACLE = {
