@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import decontam, quality_rules, secrets, sentencepiece_viterbi, token_counts
+from tessera.llm import decontam, ngram_join, quality_rules, secrets, sentencepiece_viterbi, token_counts
 
 QUERIES = {
     "op1_token_counts": token_counts.op1_token_counts,
@@ -10,10 +10,12 @@ QUERIES = {
     "op3_decontamination": decontam.op3_decontamination,
     "op6_quality_rules": quality_rules.op6_quality_rules,
     "op8_sentencepiece": sentencepiece_viterbi.op8_sentencepiece,
+    "op10_ngram_join": ngram_join.op10_ngram_join,
 }
 
 ORACLE = {
     "op2_secret_scans": secrets.ORACLE_SQL,
     "op3_decontamination": decontam.ORACLE_SQL,
     "op6_quality_rules": quality_rules.ORACLE_SQL,
+    "op10_ngram_join": ngram_join.ORACLE_SQL,
 }
