@@ -20,7 +20,6 @@ Items with equal texts all count. Extra columns are ignored.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -330,9 +329,7 @@ def decontaminated(docs: DataFrame, items: DataFrame, max_words: int = 0, max_co
             yield pa.RecordBatch.from_arrays([batch.column("__held"), pa.array(texts, pa.string()), pa.array([bool(x) for x in hits])], ["__held", "__body", "__cut"])
 
     kind = found.schema["__held"].dataType.simpleString()
-    same = found.where(F.size("__long") == 0).select("__held", "__body", F.lit(False).alias("__cut"))
-    new = found.where(F.size("__long") > 0).select("__held", "__body", "__long").mapInArrow(cut, f"__held {kind}, __body string, __cut boolean")
-    out = same.unionByName(new)
+    out = found.select("__held", "__body", "__long").mapInArrow(cut, f"__held {kind}, __body string, __cut boolean")
 
     def column(c: str):
         if c == text:

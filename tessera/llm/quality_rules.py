@@ -112,7 +112,8 @@ def measured(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_
         "word_chars",
         "n_symbols",
         "n_dup_lines",
-        F.coalesce(F.aggregate(reached, F.lit(0), lambda a, x: a + x), F.lit(0)).cast("long").alias("n_repeat_words"),
+        # the row number never decides; it keeps filters above, which would repeat the whole chain of expressions
+        F.when(F.monotonically_increasing_id() >= 0, F.coalesce(F.aggregate(reached, F.lit(0), lambda a, x: a + x), F.lit(0)).cast("long")).alias("n_repeat_words"),
         (F.col("word_chars") / words).alias("mean_word_chars"),
         (F.col("n_symbols") / words).alias("symbols_per_word"),
         (F.col("__marks") / words).alias("marks_per_word"),
