@@ -6,16 +6,19 @@ only classes are compared; the result is the component of each document.
 
 1. One scan gives each row's class (a fingerprint of the whole set), the size of
    its set and its count vector: the shingles hashed into ``GROUPS`` groups.
-2. A pair with similarity t shares one of the first n - ceil(t n) + 1 shingles
-   of each set in any common order (frequent shingles last). These few shingles
-   deal the classes out: shingle ranges are shards, and the classes that meet
-   at a shingle and fit in size form a run. The order never changes which pairs
-   are found, so the list of frequent shingles may be cut at a fixed length.
-3. Each run links its members to its first one; links are verified on whole sets
-   and contracted to components. What then is still apart inside a run is
-   searched with an R-tree over the count vectors: the sum of coordinate minima
-   of a vector and a box bounds every overlap in the box. Surviving pairs of
-   different components are verified, best bounds first, until none is left.
+2. In any common order of shingles (frequent ones last) the first l shingles
+   that a pair with similarity t shares lie among the first n - ceil(t n) + l of
+   each set. These deal the classes out: shingle ranges are shards, and the
+   classes that meet at a shingle and fit in size form a run. A class that meets
+   others at fewer than l shingles has no partner and leaves. The order never
+   changes which pairs are found, so the list of frequent shingles may be cut at
+   a fixed length.
+3. The members of a run are points, their count vectors, in an R-tree: the sum
+   of coordinate minima of a vector and a box bounds every overlap in the box.
+   First the run's first member is searched for, then, component by component,
+   what is still apart, best bounds first and at last all. Surviving pairs are
+   verified on the whole sets, which are fetched for these pairs alone, and
+   links are contracted to components after each round.
 
 No link between different sets is lost, and no group is expanded into all pairs:
 members of one component are not compared again.
@@ -42,12 +45,12 @@ from tessera.llm.components import components
 from tessera.llm.pieces import slices
 
 SHINGLE = 5
-GROUPS = 32
+GROUPS = 64
 CHARS = 4_000_000
 #: A shingle seen in this many texts comes last in the order; at most HOT_LIST of them are listed.
 HOT, HOT_LIST = 32, 200_000
 SHARD_ROWS = 400_000
-FIRST = 8
+FIRST = 3
 #: Longs of the Bloom filter that keeps unneeded sets from being shuffled.
 SIEVE = 1 << 18
 
@@ -74,6 +77,11 @@ def shingles(text: str, size: int = SHINGLE) -> np.ndarray:
     return out[np.concatenate(([True], out[1:] != out[:-1]))]
 
 
+def needed_meetings(n):
+    """Shared shingles that a pair is sure to have among the dealt ones of a set of n."""
+    return 1 + n // 8
+
+
 def fits(a: int, b: int, shared: int) -> bool:
     """The link rule: 100 * intersection >= 75 * union."""
     return 100 * shared >= 75 * (a + b - shared)
@@ -86,6 +94,18 @@ def _sets(texts: list[str]) -> Iterator[tuple[np.ndarray, int]]:
         yield s, (xxh3_64_intdigest(s.tobytes()) | 1) - (1 << 63) if len(s) else 0
 
 
+def _packed(s: np.ndarray) -> bytes:
+    """Count vector in bytes: a scale, then the counts over the scale, rounded up so that bounds still hold."""
+    count = np.bincount((s >> np.uint64(58)).astype(np.int64), minlength=GROUPS)
+    scale = max(1, -(-int(count.max()) // 255))
+    return np.uint32(scale).tobytes() + (-(-count // scale)).astype(np.uint8).tobytes()
+
+
+def _unpacked(vectors: list[bytes]) -> np.ndarray:
+    raw = np.frombuffer(b"".join(vectors), np.uint8).reshape(-1, GROUPS + 4)
+    return raw[:, 4:].astype(np.int64) * np.ascontiguousarray(raw[:, :4]).view(np.uint32).astype(np.int64)
+
+
 def _signed(a: np.ndarray) -> pa.Array:
     return pa.array(a.astype(np.int64))
 
@@ -99,7 +119,7 @@ def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for s, c in _sets(texts[a:b]):
                 ids.append(c)
                 sizes.append(len(s))
-                vectors.append(np.bincount((s >> np.uint64(59)).astype(np.int64), minlength=GROUPS).astype(np.uint32).tobytes())
+                vectors.append(_packed(s))
                 own.setdefault(c, s)
             token, count = np.unique(np.concatenate(list(own.values())), return_counts=True)
             often = count >= 3
@@ -140,7 +160,7 @@ def _dealer(shared, bits: int):
                 before = np.cumsum(late) - late
                 before -= before[start][doc]
                 rank = np.where(late, (size - np.add.reduceat(late.astype(np.int64), start))[doc] + before, np.arange(len(flat)) - start[doc] - before)
-                first = rank < (size - (3 * size + 3) // 4 + 1)[doc]
+                first = rank < (size - (3 * size + 3) // 4 + needed_meetings(size))[doc]
                 flat, doc = flat[first], doc[first]
                 order = np.argsort(flat)
                 flat, doc = flat[order], doc[order]
@@ -183,15 +203,17 @@ def _runs(data: pa.Table) -> pa.Table:
         with np.errstate(over="ignore"):
             number = (np.add.reduceat(_mixed(c), start) + size.astype(np.uint64)) * _P
         number = (number ^ (number >> np.uint64(29))).astype(np.int64)
-        keep = np.zeros(len(start), np.bool_)
-        keep[np.unique(number, return_index=True)[1]] = True
+        number = np.where(size > 1, number, 0)
+        _, at, times = np.unique(number, return_index=True, return_counts=True)
+        keep, weight = np.zeros(len(start), np.bool_), np.zeros(len(start), np.int64)
+        keep[at], weight[at] = True, times
         keep &= size > 1
         member = np.repeat(keep, size)
-        run = np.repeat(number, size)[member]
+        run, w = np.repeat(number, size)[member], np.repeat(weight, size)[member]
         c, n = c[member], n[member]
     else:
-        run = c
-    return pa.table({"run": _signed(run), "c": _signed(c), "n": _signed(n)})
+        run = w = c
+    return pa.table({"run": _signed(run), "c": _signed(c), "n": _signed(n), "w": _signed(w)})
 
 
 class RTree:
@@ -199,8 +221,7 @@ class RTree:
 
     LEAF = 16
 
-    def __init__(self, points: np.ndarray):
-        size = points.sum(axis=1)
+    def __init__(self, points: np.ndarray, size: np.ndarray):
         self.order = np.lexsort((*points.T[:4], size // 8))
         self.levels = [(points[self.order], size[self.order])]
         while len(self.levels[-1][0]) > self.LEAF:
@@ -208,9 +229,8 @@ class RTree:
             at = np.arange(0, len(top), self.LEAF)
             self.levels.append((np.maximum.reduceat(top, at, axis=0), np.minimum.reduceat(low, at)))
 
-    def search(self, point: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Points whose overlap with ``point`` may reach similarity 3/4, and their bounds."""
-        size = point.sum()
+    def search(self, point: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """Points whose overlap with a point of some size may reach similarity 3/4, and their bounds."""
         nodes = np.arange(len(self.levels[-1][0]))
         for level in range(len(self.levels) - 1, -1, -1):
             top, low = self.levels[level]
@@ -224,12 +244,13 @@ class RTree:
 
 
 def _searcher(most: int | None):
-    """Candidate pairs between the components inside each run; ``most`` for a member and another component, best bounds first, or all."""
+    """Candidate pairs inside each run. With ``most`` 0 only those of its first member; else those between components, for a member and
+    another component the ``most`` with the best bounds, or all."""
 
     def search(data: pa.Table) -> pa.Table:
-        run, c, comp = (data.column(k).to_numpy() for k in ("run", "c", "comp"))
-        vec = np.frombuffer(b"".join(data.column("vec").to_pylist()), np.uint32).reshape(-1, GROUPS).astype(np.int64)
-        order = np.lexsort((c, run))
+        run, c, n, comp = (data.column(k).to_numpy() for k in ("run", "c", "n", "comp"))
+        vec = _unpacked(data.column("vec").to_pylist())
+        order = np.lexsort((c, n, run))
         edge = np.flatnonzero(np.concatenate(([True], run[order][1:] != run[order][:-1], [True])))
         pairs: set[tuple[int, int]] = set()
         for lo, hi in zip(edge[:-1], edge[1:], strict=True):
@@ -237,16 +258,16 @@ def _searcher(most: int | None):
             names, of, count = np.unique(comp[at], return_inverse=True, return_counts=True)
             if len(names) < 2:
                 continue
-            points, ids, tree = vec[at], c[at], RTree(vec[at])
-            for i in np.flatnonzero(of != count.argmax()):
-                found, bound = tree.search(points[i])
-                other = of[found] != of[i]
-                found, bound = found[other], bound[other]
-                if most is not None:
+            points, ids, sizes = vec[at], c[at], n[at]
+            tree = RTree(points, sizes)
+            for i in [0] if most == 0 else np.flatnonzero(of != count.argmax()):
+                found, bound = tree.search(points[i], sizes[i])
+                fit = (of[found] != of[i]) & (4 * sizes[found] >= 3 * sizes[i]) & (4 * sizes[i] >= 3 * sizes[found])
+                found, bound = found[fit], bound[fit]
+                if most:
                     rank = np.lexsort((-bound, of[found]))
                     group = of[found][rank]
-                    begin = np.searchsorted(group, group)
-                    found = found[rank[np.arange(len(rank)) - begin < most]]
+                    found = found[rank[np.arange(len(rank)) - np.searchsorted(group, group) < most]]
                 x = int(ids[i])
                 pairs.update((min(x, y), max(x, y)) for y in ids[found].tolist())
         a, b = (np.array([p[k] for p in sorted(pairs)], np.int64) for k in (0, 1))
@@ -291,6 +312,19 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["a", "b"]).take(pa.array(good, pa.int64()))
 
 
+def _fetched(text_rows: DataFrame, pairs: DataFrame, have: DataFrame) -> DataFrame:
+    """(c, shingles) of the classes in some pairs that are not at hand yet. A Bloom filter of fixed size thins the scan, a join does the rest."""
+    spark = text_rows.sparkSession
+    needed = pairs.select(F.col("a").alias("c")).unionByName(pairs.select(F.col("b").alias("c"))).distinct()
+    needed = saved(needed.join(have.select("c"), "c", "left_anti"))
+    word = F.pmod(F.shiftright("c", 6), F.lit(SIEVE))
+    filled = needed.groupBy(word.alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(c & 63 as int))")).alias("bits")).toArrow()
+    sieve = np.zeros(SIEVE, np.int64)
+    sieve[filled.column("w").to_numpy()] = filled.column("bits").to_numpy()
+    fetched = text_rows.mapInArrow(_fetcher(spark.sparkContext.broadcast(sieve.view(np.uint64))), "c bigint, shingles binary")
+    return saved(fetched.join(needed, "c", "left_semi").groupBy("c").agg(F.first("shingles").alias("shingles")))
+
+
 def ngram_jaccard_join(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """doc_id, n_shingles and component_id of each row."""
     spark = docs.sparkSession
@@ -307,43 +341,38 @@ def ngram_jaccard_join(docs: DataFrame, text: str = "text", doc_id: str = "doc_i
     bits = max(6, int(total // SHARD_ROWS).bit_length())
     text_rows = rows.select("__t")
     dealt = text_rows.mapInArrow(_dealer(spark.sparkContext.broadcast(hot), bits), "shard bigint, packed binary")
-    runs = dealt.groupBy("shard").applyInArrow(_runs, "run bigint, c bigint, n bigint")
-    runs = saved(runs.distinct())
-
-    needed = saved(runs.select("c").distinct())
-    word = F.pmod(F.shiftright("c", 6), F.lit(SIEVE))
-    filled = needed.groupBy(word.alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(c & 63 as int))")).alias("bits")).collect()
-    sieve = np.zeros(SIEVE, np.int64)
-    for r in filled:
-        sieve[r["w"]] = r["bits"]
-    fetched = text_rows.mapInArrow(_fetcher(spark.sparkContext.broadcast(sieve.view(np.uint64))), "c bigint, shingles binary")
-    sets = saved(fetched.join(needed, "c", "left_semi").groupBy("c").agg(F.first("shingles").alias("shingles")))
-
-    def verify(pairs: DataFrame) -> DataFrame:
-        left, right = (sets.select(F.col("c").alias(k), F.col("shingles").alias("s" + k)) for k in ("a", "b"))
-        return saved(pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(_verified, "a bigint, b bigint"))
-
-    first = runs.groupBy("run").agg(F.min(F.struct("c", "n")).alias("lead"))
-    fit = (4 * F.col("n") >= 3 * F.col("lead.n")) & (4 * F.col("lead.n") >= 3 * F.col("n")) & (F.col("c") != F.col("lead.c"))
-    tested = saved(runs.join(first, "run").where(fit).select(F.col("lead.c").alias("a"), F.col("c").alias("b")).distinct())
-    links = verify(tested)
-    labels = components(links)
-    vectors = scan.where(F.col("hot").isNull() & (F.col("n") > 0)).select("c", "vec")
-    vectors = saved(vectors.join(needed, "c", "left_semi").groupBy("c").agg(F.first("vec").alias("vec")))
+    runs = dealt.groupBy("shard").applyInArrow(_runs, "run bigint, c bigint, n bigint, w bigint")
+    runs = saved(runs.groupBy("run", "c", "n").agg(F.sum("w").alias("w")))
+    for _ in range(2):
+        # a partner has at least 3/4 of the size and so at least its own number of meetings
+        least = 1 + F.floor(F.ceil(F.col("n") * 3 / 4) / 8)
+        able = runs.groupBy("c", "n").agg(F.sum("w").alias("met")).where(F.col("met") >= least).select("c")
+        runs = runs.join(able, "c", "left_semi")
+        runs = saved(runs.join(runs.groupBy("run").agg(F.count("*").alias("k")).where("k > 1").select("run"), "run", "left_semi"))
+
+    needed = runs.select("c").distinct()
+    vectors = scan.where(F.col("hot").isNull() & (F.col("n") > 0)).select("c", "vec").join(needed, "c", "left_semi")
+    vectors = saved(vectors.groupBy("c").agg(F.first("vec").alias("vec")))
+    empty = spark.createDataFrame([], "a bigint, b bigint")
+    sets, tested, links = spark.createDataFrame([], "c bigint, shingles binary"), empty, empty
+    labels = spark.createDataFrame([], "node bigint, label bigint")
     buckets = max(tasks(spark) * 4, 64)
-    for most in (FIRST, None):
-        named = runs.join(labels.withColumnRenamed("node", "c"), "c", "left").select("run", "c", F.coalesce("label", "c").alias("comp"))
-        apart = named.groupBy("run").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("k")).where("x <> y and k > 2").select("run")
-        held = named.join(apart, "run").join(vectors, "c").withColumn("bucket", F.pmod(F.hash("run"), F.lit(buckets)))
+    for most in (0, FIRST, None):
+        held = runs.join(labels.withColumnRenamed("node", "c"), "c", "left").select("run", "c", "n", F.coalesce("label", "c").alias("comp"))
+        if most != 0:
+            apart = held.groupBy("run").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("k")).where("x <> y and k > 2")
+            held = held.join(apart.select("run"), "run")
+        held = held.join(vectors, "c").withColumn("bucket", F.pmod(F.hash("run"), F.lit(buckets)))
         pairs = held.groupBy("bucket").applyInArrow(_searcher(most), "a bigint, b bigint").distinct()
         pairs = saved(pairs.join(tested, ["a", "b"], "left_anti"))
         if pairs.isEmpty():
             continue
         tested = tested.unionByName(pairs)
-        more = verify(pairs)
-        if not more.isEmpty():
-            links = links.unionByName(more)
-            labels = components(links)
+        sets = sets.unionByName(_fetched(text_rows, pairs, sets))
+        left, right = (sets.select(F.col("c").alias(k), F.col("shingles").alias("s" + k)) for k in ("a", "b"))
+        more = pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(_verified, "a bigint, b bigint")
+        links = links.unionByName(saved(more))
+        labels = components(links)
 
     named = light.join(labels.withColumnRenamed("node", "c"), "c", "left").withColumn("label", F.coalesce("label", "c"))
     least = named.where(F.col("n") > 0).groupBy("label").agg(F.min("__keep").alias("__least"))
