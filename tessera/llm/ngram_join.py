@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from tessera.llm.common import saved, table, tasks, text_of
+from tessera.llm.common import released, saved, table, tasks, text_of
 from tessera.llm.components import components
 from tessera.llm.pieces import slices
 
@@ -335,8 +335,7 @@ def ngram_jaccard_join(docs: DataFrame, text: str = "text", doc_id: str = "doc_i
 
     each = scan.where(F.col("hot").isNotNull()).select(F.explode(F.arrays_zip("hot", "times")).alias("x"))
     each = each.groupBy(F.col("x.hot").alias("t")).agg(F.sum("x.times").alias("k")).where(F.col("k") >= HOT)
-    hot = [r["t"] for r in each.orderBy(F.desc("k"), "t").limit(HOT_LIST).collect()]
-    hot = np.sort(np.array(hot, np.int64).astype(np.uint64))
+    hot = np.sort(each.orderBy(F.desc("k"), "t").limit(HOT_LIST).toArrow().column("t").to_numpy().astype(np.uint64))
     total = scan.agg(F.sum((F.col("n") / 4).cast("long") + 1)).first()[0] or 0
     bits = max(6, int(total // SHARD_ROWS).bit_length())
     text_rows = rows.select("__t")
@@ -358,6 +357,7 @@ def ngram_jaccard_join(docs: DataFrame, text: str = "text", doc_id: str = "doc_i
     labels = spark.createDataFrame([], "node bigint, label bigint")
     buckets = max(tasks(spark) * 4, 64)
     for most in (0, FIRST, None):
+        released(spark)
         held = runs.join(labels.withColumnRenamed("node", "c"), "c", "left").select("run", "c", "n", F.coalesce("label", "c").alias("comp"))
         if most != 0:
             apart = held.groupBy("run").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("k")).where("x <> y and k > 2")
