@@ -133,8 +133,13 @@ def _sequence(found: Column, wanted: list[str]) -> Column:
     if not n:
         return F.lit(True)
     query = F.array(*[F.lit(w) for w in wanted])
-    places = F.sequence(F.lit(0), F.greatest(F.size(found) - n, F.lit(0)))
-    return (F.size(found) >= n) & F.exists(places, lambda i: F.slice(found, i + 1, n) == query)
+
+    def inside(words: Column) -> Column:
+        places = F.sequence(F.lit(0), F.greatest(F.size(words) - n, F.lit(0)))
+        return (F.size(words) >= n) & F.exists(places, lambda i: F.slice(words, i + 1, n) == query)
+
+    # an array of one binds the words to a variable, so that they are made once a row
+    return F.exists(F.array(found), inside)
 
 
 class Compiler:

@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,6 +27,8 @@ def maxsim(rows: DataFrame, query: Sequence[Sequence[float]], k: int) -> DataFra
 
 def maxsim_matrices(rows: DataFrame, query: Sequence[Sequence[float]], k: int) -> DataFrame:
     """The same over whole matrices (id, matrix: array of vectors), as one matrix product a row."""
+    import pandas as pd
+
     q = np.asarray(query, np.float64)
 
     @F.pandas_udf(T.DoubleType())

@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -168,6 +167,8 @@ def two_bit_topk(rows: DataFrame, vector: Sequence[float], metric: str, k: int,
     offset = float(q @ c)
     query = rotation.apply(q[None] if metric == "dot_product" else (q - c)[None])[0]
 
+    import pandas as pd
+
     @F.pandas_udf(T.DoubleType())
     def estimate(values: pd.Series) -> pd.Series:
         x = np.stack(values.to_numpy()).astype(np.float64)

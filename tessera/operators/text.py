@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import re
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,9 +26,14 @@ WORD = r"[\p{L}\p{N}_]+"
 _WORD = re.compile(r"\w+")
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def _stemmed(words: pd.Series) -> pd.Series:
-    return words.map(lambda ws: None if ws is None else [stem(w) for w in ws])
+def _stemmed(words: Column) -> Column:
+    import pandas as pd  # only stemming needs it
+
+    @F.pandas_udf(T.ArrayType(T.StringType()))
+    def stemmed(column: pd.Series) -> pd.Series:
+        return column.map(lambda ws: None if ws is None else [stem(w) for w in ws])
+
+    return stemmed(words)
 
 
 def tokens(text: Column, config: TextField = TextField(stemming=False)) -> Column:  # noqa: B008
