@@ -27,13 +27,11 @@ def maxsim(rows: DataFrame, query: Sequence[Sequence[float]], k: int) -> DataFra
 
 def maxsim_matrices(rows: DataFrame, query: Sequence[Sequence[float]], k: int) -> DataFrame:
     """The same over whole matrices (id, matrix: array of vectors), as one matrix product a row."""
-    import pandas as pd
-
     q = np.asarray(query, np.float64)
 
-    @F.pandas_udf(T.DoubleType())
-    def score(matrix: pd.Series) -> pd.Series:
-        return pd.Series([float((np.stack(m).astype(np.float64) @ q.T).max(axis=0).sum()) if m is not None and len(m) else float("-inf") for m in matrix])
+    @F.arrow_udf(T.DoubleType())
+    def score(matrix: pa.Array) -> pa.Array:
+        return pa.array([float((np.array(m, np.float64) @ q.T).max(axis=0).sum()) if m else float("-inf") for m in matrix.to_pylist()])
 
     return ordered(rows.select("id", score("matrix").alias("score")), k, descending=True)
 

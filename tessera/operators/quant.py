@@ -167,14 +167,12 @@ def two_bit_topk(rows: DataFrame, vector: Sequence[float], metric: str, k: int,
     offset = float(q @ c)
     query = rotation.apply(q[None] if metric == "dot_product" else (q - c)[None])[0]
 
-    import pandas as pd
-
-    @F.pandas_udf(T.DoubleType())
-    def estimate(values: pd.Series) -> pd.Series:
-        x = np.stack(values.to_numpy()).astype(np.float64)
+    @F.arrow_udf(T.DoubleType())
+    def estimate(values: pa.Array) -> pa.Array:
+        x = values.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(values), -1)
         if metric == "cosine":
             x /= np.linalg.norm(x, axis=1, keepdims=True)
         out = two_bit_scores(*two_bit(rotation.apply(x - c)), query, metric)
-        return pd.Series(out - offset if metric == "dot_product" else out)
+        return pa.array(out - offset if metric == "dot_product" else out)
 
     return ordered(rows.select("id", estimate("values").alias("score")), k)

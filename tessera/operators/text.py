@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,14 +27,9 @@ WORD = r"[\p{L}\p{N}_]+"
 _WORD = re.compile(r"\w+")
 
 
-def _stemmed(words: Column) -> Column:
-    import pandas as pd  # only stemming needs it
-
-    @F.pandas_udf(T.ArrayType(T.StringType()))
-    def stemmed(column: pd.Series) -> pd.Series:
-        return column.map(lambda ws: None if ws is None else [stem(w) for w in ws])
-
-    return stemmed(words)
+@F.arrow_udf(T.ArrayType(T.StringType()))
+def _stemmed(words: pa.Array) -> pa.Array:
+    return pa.array([None if ws is None else [stem(w) for w in ws] for ws in words.to_pylist()], pa.list_(pa.string()))
 
 
 def tokens(text: Column, config: TextField = TextField(stemming=False)) -> Column:  # noqa: B008
