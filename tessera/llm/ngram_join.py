@@ -42,7 +42,7 @@ from xxhash import xxh3_64_intdigest
 
 from tessera.llm.common import released, saved, table, tasks, text_of
 from tessera.llm.components import components
-from tessera.llm.pieces import slices
+from tessera.llm.pieces import stretches
 
 SHINGLE = 5
 GROUPS = 64
@@ -82,11 +82,6 @@ def needed_meetings(n):
     return 1 + n // 8
 
 
-def fits(a: int, b: int, shared: int) -> bool:
-    """The link rule: 100 * intersection >= 75 * union."""
-    return 100 * shared >= 75 * (a + b - shared)
-
-
 def _sets(texts: list[str]) -> Iterator[tuple[np.ndarray, int]]:
     """(set, class) of each text; class 0 is the empty set."""
     for t in texts:
@@ -113,10 +108,9 @@ def _signed(a: np.ndarray) -> pa.Array:
 def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row for each text, and for each stretch a row of its repeated shingles."""
     for batch in batches:
-        texts = batch.column("__t").to_pylist()
-        for a, b in slices(texts, CHARS):
+        for a, b, texts in stretches(batch.column("__t"), CHARS):
             ids, sizes, vectors, own = [], [], [], {}
-            for s, c in _sets(texts[a:b]):
+            for s, c in _sets(texts):
                 ids.append(c)
                 sizes.append(len(s))
                 vectors.append(_packed(s))
@@ -140,10 +134,9 @@ def _dealer(shared, bits: int):
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent = shared.value
         for batch in batches:
-            texts = batch.column("__t").to_pylist()
-            for a, b in slices(texts, CHARS):
+            for _, _, texts in stretches(batch.column("__t"), CHARS):
                 own = {}
-                for s, c in _sets(texts[a:b]):
+                for s, c in _sets(texts):
                     if c:
                         own.setdefault(c, s)
                 if not own:
@@ -282,36 +275,20 @@ def _fetcher(shared):
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sieve, seen = shared.value, set()
         for batch in batches:
-            texts = batch.column("__t").to_pylist()
-            for a, b in slices(texts, CHARS):
+            for _, _, texts in stretches(batch.column("__t"), CHARS):
                 ids, sets = [], []
-                for s, c in _sets(texts[a:b]):
+                for s, c in _sets(texts):
                     if c and c not in seen and sieve[(c >> 6) % SIEVE] >> np.uint64(c & 63) & np.uint64(1):
                         seen.add(c)
                         ids.append(c)
-                        sets.append(s.tobytes())
+                        sets.append(s.view(np.int64))
                 if len(seen) > 1_000_000:
                     seen.clear()
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.binary())], ["c", "shingles"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["c", "shingles"])
 
     return fetch
 
 
-def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs whose sets are similar enough."""
-    for batch in batches:
-        good = []
-        for i, (x, y) in enumerate(zip(batch.column("sa"), batch.column("sb"), strict=True)):
-            x, y = (np.frombuffer(s.as_buffer(), np.uint64) for s in (x, y))
-            if len(x) > len(y):
-                x, y = y, x
-            at = np.searchsorted(y, x)
-            at[at == len(y)] = 0
-            if fits(len(x), len(y), int((y[at] == x).sum())):
-                good.append(i)
-        yield batch.select(["a", "b"]).take(pa.array(good, pa.int64()))
-
-
 def _fetched(text_rows: DataFrame, pairs: DataFrame, have: DataFrame) -> DataFrame:
     """(c, shingles) of the classes in some pairs that are not at hand yet. A Bloom filter of fixed size thins the scan, a join does the rest."""
     spark = text_rows.sparkSession
@@ -321,7 +298,7 @@ def _fetched(text_rows: DataFrame, pairs: DataFrame, have: DataFrame) -> DataFra
     filled = needed.groupBy(word.alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(c & 63 as int))")).alias("bits")).toArrow()
     sieve = np.zeros(SIEVE, np.int64)
     sieve[filled.column("w").to_numpy()] = filled.column("bits").to_numpy()
-    fetched = text_rows.mapInArrow(_fetcher(spark.sparkContext.broadcast(sieve.view(np.uint64))), "c bigint, shingles binary")
+    fetched = text_rows.mapInArrow(_fetcher(spark.sparkContext.broadcast(sieve.view(np.uint64))), "c bigint, shingles array<bigint>")
     return saved(fetched.join(needed, "c", "left_semi").groupBy("c").agg(F.first("shingles").alias("shingles")))
 
 
@@ -353,7 +330,7 @@ def ngram_jaccard_join(docs: DataFrame, text: str = "text", doc_id: str = "doc_i
     vectors = scan.where(F.col("hot").isNull() & (F.col("n") > 0)).select("c", "vec").join(needed, "c", "left_semi")
     vectors = saved(vectors.groupBy("c").agg(F.first("vec").alias("vec")))
     empty = spark.createDataFrame([], "a bigint, b bigint")
-    sets, tested, links = spark.createDataFrame([], "c bigint, shingles binary"), empty, empty
+    sets, tested, links = spark.createDataFrame([], "c bigint, shingles array<bigint>"), empty, empty
     labels = spark.createDataFrame([], "node bigint, label bigint")
     buckets = max(tasks(spark) * 4, 64)
     for most in (0, FIRST, None):
@@ -370,7 +347,8 @@ def ngram_jaccard_join(docs: DataFrame, text: str = "text", doc_id: str = "doc_i
         tested = tested.unionByName(pairs)
         sets = sets.unionByName(_fetched(text_rows, pairs, sets))
         left, right = (sets.select(F.col("c").alias(k), F.col("shingles").alias("s" + k)) for k in ("a", "b"))
-        more = pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(_verified, "a bigint, b bigint")
+        shared = F.size(F.array_intersect("sa", "sb"))
+        more = pairs.join(left, "a").join(right, "b").where(100 * shared >= 75 * (F.size("sa") + F.size("sb") - shared)).select("a", "b")
         links = links.unionByName(saved(more))
         labels = components(links)
 

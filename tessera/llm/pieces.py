@@ -17,6 +17,7 @@ import struct
 from collections.abc import Iterable
 
 import numpy as np
+import pyarrow.compute as pc
 
 MARK = "▁"
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -161,3 +162,14 @@ def slices(texts: list[str], chars: int):
             at, total = i + 1, 0
     if at < len(texts):
         yield at, len(texts)
+
+
+def stretches(column, size: int):
+    """(from, to, texts) of stretches of an Arrow text column of about ``size`` bytes, made into strings one at a time."""
+    lengths = np.cumsum(pc.binary_length(column).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(column):
+        before = lengths[at - 1] if at else 0
+        to = min(len(column), int(np.searchsorted(lengths, before + size)) + 1)
+        yield at, to, column.slice(at, to - at).to_pylist()
+        at = to
