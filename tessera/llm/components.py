@@ -11,23 +11,24 @@ from tessera.llm.common import saved
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, label) of every node that has a link; the label is the least node of its component.
 
-    Each round takes the least label among a node's neighbours and then the
-    label of that label, so long chains shorten by half. Rounds end when no
-    label changes. Labels stay in tables; the driver sees one count a round.
+    A step takes the least label among a node's neighbours and then the label of
+    that label, so long chains shorten by half. Two steps make a round, and the
+    rounds end when the second one changes nothing. Labels stay in tables; the
+    driver only learns whether a label changed.
     """
-    edges = saved(
-        links.select(F.col(a).alias("u"), F.col(b).alias("v")).unionByName(links.select(F.col(b).alias("u"), F.col(a).alias("v"))).distinct()
-    )
+    both = links.select(F.col(a).alias("u"), F.col(b).alias("v")).unionByName(links.select(F.col(b).alias("u"), F.col(a).alias("v")))
+    edges = saved(both.distinct())
+
+    def step(labels: DataFrame) -> DataFrame:
+        near = edges.join(labels, edges["v"] == labels["node"]).groupBy("u").agg(F.min("label").alias("near"))
+        new = labels.join(near, labels["node"] == near["u"]).select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
+        over = new.select(F.col("node").alias("__n"), F.col("label").alias("__l"))
+        return new.join(over, new["label"] == over["__n"]).select("node", "old", F.least("label", "__l").alias("label"))
+
     labels = edges.groupBy(F.col("u").alias("node")).agg(F.least(F.min("v"), F.first("u")).alias("label"))
-    labels = saved(labels)
     while True:
-        near = edges.join(labels, edges["v"] == labels["node"]).groupBy("u").agg(F.min("label").alias("near"))
-        step = labels.join(near, labels["node"] == near["u"], "left").select(
-            "node", F.col("label").alias("old"), F.least("label", F.coalesce("near", "label")).alias("label")
-        )
-        over = step.select(F.col("node").alias("__n"), F.col("label").alias("__l"))
-        jumped = step.join(over, step["label"] == over["__n"], "left").select("node", "old", F.least("label", F.coalesce("__l", "label")).alias("label"))
-        jumped = saved(jumped)
-        if jumped.where("old <> label").isEmpty():
-            return jumped.select("node", "label")
-        labels = jumped.select("node", "label")
+        labels = saved(step(step(labels).select("node", "label")))
+        done = labels.where("old <> label").isEmpty()
+        labels = labels.select("node", "label")
+        if done:
+            return labels

@@ -13,12 +13,12 @@ only classes are compared; the result is the component of each document.
    others at fewer than l shingles has no partner and leaves. The order never
    changes which pairs are found, so the list of frequent shingles may be cut at
    a fixed length.
-3. The members of a run are points, their count vectors, in an R-tree: the sum
-   of coordinate minima of a vector and a box bounds every overlap in the box.
-   First the run's first member is searched for, then, component by component,
-   what is still apart, best bounds first and at last all. Surviving pairs are
-   verified on the whole sets, which are fetched for these pairs alone, and
-   links are contracted to components after each round.
+3. Runs with the same least class are put together as a group. Its members are
+   points, their count vectors, in an R-tree: the sum of coordinate minima of a
+   vector and a box bounds every overlap in the box. First the least class is
+   searched for, then what is still in another component, best bounds first and
+   at last all. Surviving pairs are verified on the whole sets, which are fetched
+   for these pairs alone, and links are contracted after each round.
 
 No link between different sets is lost, and no group is expanded into all pairs:
 members of one component are not compared again.
@@ -237,14 +237,14 @@ class RTree:
 
 
 def _searcher(most: int | None):
-    """Candidate pairs inside each run. With ``most`` 0 only those of its first member; else those between components, for a member and
-    another component the ``most`` with the best bounds, or all."""
+    """Candidate pairs inside each group. With ``most`` 0 only those of its least class; else those between components, for each member
+    the ``most`` with the best bounds, or all."""
 
     def search(data: pa.Table) -> pa.Table:
-        run, c, n, comp = (data.column(k).to_numpy() for k in ("run", "c", "n", "comp"))
+        group, c, n, comp = (data.column(k).to_numpy() for k in ("lead", "c", "n", "comp"))
         vec = _unpacked(data.column("vec").to_pylist())
-        order = np.lexsort((c, n, run))
-        edge = np.flatnonzero(np.concatenate(([True], run[order][1:] != run[order][:-1], [True])))
+        order = np.lexsort((c, group))
+        edge = np.flatnonzero(np.concatenate(([True], group[order][1:] != group[order][:-1], [True])))
         pairs: set[tuple[int, int]] = set()
         for lo, hi in zip(edge[:-1], edge[1:], strict=True):
             at = order[lo:hi]
@@ -258,9 +258,7 @@ def _searcher(most: int | None):
                 fit = (of[found] != of[i]) & (4 * sizes[found] >= 3 * sizes[i]) & (4 * sizes[i] >= 3 * sizes[found])
                 found, bound = found[fit], bound[fit]
                 if most:
-                    rank = np.lexsort((-bound, of[found]))
-                    group = of[found][rank]
-                    found = found[rank[np.arange(len(rank)) - np.searchsorted(group, group) < most]]
+                    found = found[np.lexsort((ids[found], -bound / (sizes[found] + sizes[i])))[:most]]
                 x = int(ids[i])
                 pairs.update((min(x, y), max(x, y)) for y in ids[found].tolist())
         a, b = (np.array([p[k] for p in sorted(pairs)], np.int64) for k in (0, 1))
@@ -326,20 +324,21 @@ def ngram_jaccard_join(docs: DataFrame, text: str = "text", doc_id: str = "doc_i
         runs = runs.join(able, "c", "left_semi")
         runs = saved(runs.join(runs.groupBy("run").agg(F.count("*").alias("k")).where("k > 1").select("run"), "run", "left_semi"))
 
-    needed = runs.select("c").distinct()
-    vectors = scan.where(F.col("hot").isNull() & (F.col("n") > 0)).select("c", "vec").join(needed, "c", "left_semi")
-    vectors = saved(vectors.groupBy("c").agg(F.first("vec").alias("vec")))
+    least = runs.groupBy("run").agg(F.min("c").alias("lead"))
+    groups = saved(runs.join(least, "run").select("lead", "c", "n").distinct())
+    vectors = scan.where(F.col("hot").isNull() & (F.col("n") > 0)).select("c", "vec").join(groups.select("c").distinct(), "c", "left_semi")
+    groups = saved(groups.join(vectors.groupBy("c").agg(F.first("vec").alias("vec")), "c"))
     empty = spark.createDataFrame([], "a bigint, b bigint")
     sets, tested, links = spark.createDataFrame([], "c bigint, shingles array<bigint>"), empty, empty
     labels = spark.createDataFrame([], "node bigint, label bigint")
     buckets = max(tasks(spark) * 4, 64)
     for most in (0, FIRST, None):
         released(spark)
-        held = runs.join(labels.withColumnRenamed("node", "c"), "c", "left").select("run", "c", "n", F.coalesce("label", "c").alias("comp"))
+        held = groups.join(labels.withColumnRenamed("node", "c"), "c", "left").select("lead", "c", "n", "vec", F.coalesce("label", "c").alias("comp"))
         if most != 0:
-            apart = held.groupBy("run").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("k")).where("x <> y and k > 2")
-            held = held.join(apart.select("run"), "run")
-        held = held.join(vectors, "c").withColumn("bucket", F.pmod(F.hash("run"), F.lit(buckets)))
+            apart = held.groupBy("lead").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("k")).where("x <> y and k > 2")
+            held = held.join(apart.select("lead"), "lead", "left_semi")
+        held = held.withColumn("bucket", F.pmod(F.hash("lead"), F.lit(buckets)))
         pairs = held.groupBy("bucket").applyInArrow(_searcher(most), "a bigint, b bigint").distinct()
         pairs = saved(pairs.join(tested, ["a", "b"], "left_anti"))
         if pairs.isEmpty():
