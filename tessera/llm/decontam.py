@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from tessera.llm.common import saved, table
 
 WINDOW = 10
-BLOCK_WORDS = 400_000
+BLOCK_WORDS = 200_000
 
 #: Bytes of words stay (digits, small letters, all above 7F), capitals are lowered, all others part words.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c > 127 else 32 for c in range(256))

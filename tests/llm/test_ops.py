@@ -91,7 +91,7 @@ def hit_words(text, items, window):
     return len(w), sorted(hit), sorted(found)
 
 
-@pytest.mark.parametrize("block", [400_000, 25])
+@pytest.mark.parametrize("block", [200_000, 25])
 @pytest.mark.parametrize("window", [10, 3])
 def test_decontamination(spark, block, window):
     rng = random.Random(window)
