@@ -602,6 +602,23 @@ def coverage(spark, sf):
 # sizing
 
 
+@register("content_hash", "SELECT doc_id AS id, sha256('{\"doc_id\":' || doc_id || ',\"lang\":\"' || lang || '\",\"source\":\"' || source || '\"}') AS content_hash FROM documents")
+def content_hash(spark, sf):
+    from tessera.sources.upserts import content_hash as digest
+
+    return read(spark, sf, "documents").select(F.col("doc_id").alias("id"), digest("doc_id", "lang", "source").alias("content_hash"))
+
+
+@register("encoder_coverage")
+def encoder_coverage(spark, sf):
+    from tessera.operators.encoders import HashEncoder, enrich
+    from tessera.sources.upserts import units
+
+    rows = read(spark, sf, "benchmark").select(F.col("item_id").cast("string").alias("id"), F.lit("text").alias("type"), "text", F.lit(None).cast("binary").alias("image"))
+    done = enrich(units(rows), HashEncoder())
+    return done.groupBy("status").agg(F.count("*").alias("n"), F.sum(F.size("matrix")).alias("vectors"))
+
+
 @register(
     "sizing_predict",
     f"""WITH c AS (SELECT CAST(n_nationkey AS BIGINT) AS case_id, n_nationkey + 1 AS clients, 3 AS stages, 16e6 AS bytes_per_query, 38.0 AS gets_per_query, 15.0 AS ttfb_p50, 60.0 AS ttfb_p99, 80.0 AS conn_mbps, 1000.0 AS node_mbps, 1 + n_nationkey % 3 AS nodes, 2.0 AS cpu_ms, 4e-7 AS price_get, 0.4 AS price_hour FROM nation),
