@@ -50,7 +50,9 @@ CHARS = 4_000_000
 #: A shingle seen in this many texts comes last in the order; at most HOT_LIST of them are listed.
 HOT, HOT_LIST = 32, 200_000
 SHARD_ROWS = 400_000
-FIRST = 3
+FIRST = 16
+#: Lists of classes up to this length are broadcast to thin what a shuffle carries.
+SHORT = 500_000
 #: Longs of the Bloom filter that keeps unneeded sets from being shuffled.
 SIEVE = 1 << 18
 
@@ -160,7 +162,7 @@ def _dealer(shared, bits: int):
                 shard = (flat >> np.uint64(64 - bits)).astype(np.int64)
                 token = ((flat << np.uint64(bits)) >> np.uint64(32)).astype(np.uint32)
                 edge = np.flatnonzero(np.concatenate(([True], shard[1:] != shard[:-1], [True])))
-                blobs = [token[i:j].tobytes() + ids[doc[i:j]].tobytes() + size[doc[i:j]].tobytes() for i, j in zip(edge[:-1], edge[1:], strict=True)]
+                blobs = [token[i:j].tobytes() + ids[doc[i:j]].tobytes() + size[doc[i:j]].astype(np.int32).tobytes() for i, j in zip(edge[:-1], edge[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(shard[edge[:-1]]), pa.array(blobs, pa.binary())], ["shard", "packed"])
 
     return deal
@@ -175,11 +177,11 @@ def _runs(data: pa.Table) -> pa.Table:
     """Runs of a shard: classes that meet at a shingle, split where sizes don't fit. Runs with the same members have the same number."""
     token, c, n = [], [], []
     for blob in data.column("packed").to_pylist():
-        k = len(blob) // 20
+        k = len(blob) // 16
         token.append(np.frombuffer(blob, np.uint32, k))
         c.append(np.frombuffer(blob, np.int64, k, 4 * k))
-        n.append(np.frombuffer(blob, np.int64, k, 12 * k))
-    token, c, n = np.concatenate(token), np.concatenate(c), np.concatenate(n)
+        n.append(np.frombuffer(blob, np.int32, k, 12 * k))
+    token, c, n = np.concatenate(token), np.concatenate(c), np.concatenate(n).astype(np.int64)
     # drop what meets nothing before the full sort
     order = np.argsort(token, kind="stable")
     same = token[order][1:] == token[order][:-1]
@@ -287,17 +289,23 @@ def _fetcher(shared):
     return fetch
 
 
-def _fetched(text_rows: DataFrame, pairs: DataFrame, have: DataFrame) -> DataFrame:
-    """(c, shingles) of the classes in some pairs that are not at hand yet. A Bloom filter of fixed size thins the scan, a join does the rest."""
+def _short(rows: DataFrame) -> DataFrame:
+    """A saved list, broadcast if it is short."""
+    return F.broadcast(rows) if rows.count() <= SHORT else rows
+
+
+def _fetched(text_rows: DataFrame, classes: DataFrame, have: DataFrame) -> DataFrame:
+    """(c, shingles) of some classes that are not at hand yet. A Bloom filter of fixed size thins the scan, a join does the rest."""
     spark = text_rows.sparkSession
-    needed = pairs.select(F.col("a").alias("c")).unionByName(pairs.select(F.col("b").alias("c"))).distinct()
-    needed = saved(needed.join(have.select("c"), "c", "left_anti"))
+    needed = saved(classes.join(have.select("c"), "c", "left_anti"))
     word = F.pmod(F.shiftright("c", 6), F.lit(SIEVE))
     filled = needed.groupBy(word.alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(c & 63 as int))")).alias("bits")).toArrow()
+    if not filled.num_rows:
+        return have.limit(0)
     sieve = np.zeros(SIEVE, np.int64)
     sieve[filled.column("w").to_numpy()] = filled.column("bits").to_numpy()
     fetched = text_rows.mapInArrow(_fetcher(spark.sparkContext.broadcast(sieve.view(np.uint64))), "c bigint, shingles array<bigint>")
-    return saved(fetched.join(needed, "c", "left_semi").groupBy("c").agg(F.first("shingles").alias("shingles")))
+    return saved(fetched.join(_short(needed), "c", "left_semi").groupBy("c").agg(F.first("shingles").alias("shingles")))
 
 
 def ngram_jaccard_join(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -344,8 +352,10 @@ def ngram_jaccard_join(docs: DataFrame, text: str = "text", doc_id: str = "doc_i
         if pairs.isEmpty():
             continue
         tested = tested.unionByName(pairs)
-        sets = sets.unionByName(_fetched(text_rows, pairs, sets))
-        left, right = (sets.select(F.col("c").alias(k), F.col("shingles").alias("s" + k)) for k in ("a", "b"))
+        classes = saved(pairs.select(F.col("a").alias("c")).unionByName(pairs.select(F.col("b").alias("c"))).distinct())
+        sets = sets.unionByName(_fetched(text_rows, classes, sets))
+        used = sets.join(_short(classes), "c", "left_semi")
+        left, right = (used.select(F.col("c").alias(k), F.col("shingles").alias("s" + k)) for k in ("a", "b"))
         shared = F.size(F.array_intersect("sa", "sb"))
         more = pairs.join(left, "a").join(right, "b").where(100 * shared >= 75 * (F.size("sa") + F.size("sb") - shared)).select("a", "b")
         links = links.unionByName(saved(more))
