@@ -1,12 +1,24 @@
 """Quality classifier: perplexity under an interpolated modified Kneser-Ney model of trusted text.
 
-The model is over the characters of words: every word, with ``ORDER`` - 1 start
-marks and an end mark, is one sentence. N-grams are counted over all trusted
-rows. Continuation counts, counts of counts, discounts, context weights and the
-interpolated probabilities of all orders come from joins and aggregates keyed by
-n-gram, so they are sharded like any Spark table.
-
-A finished model is cut into shards by the context's last character, so that an
+The model is over word sequences: n-grams of up to three words, across a whole
+text with two start marks before it, are counted over all trusted rows. Where
+words end, characters begin: the shortest context is interpolated with a model
+over the characters of words, in which every word, with ``ORDER`` - 1 start marks
+and an end mark, is one sentence. Continuation counts, counts of counts,
+discounts, context weights and the interpolated probabilities of all orders come
+from joins and aggregates keyed by n-gram, so they are sharded like any Spark
+table.
+
+The log probability of a text is a sum over its n-grams: what its characters
+give, a gain for each seen n-gram over its shorter form, and a weight for each
+seen context. So texts are scored by one join on n-grams and one sum by text.
+Bitmaps of a fixed size keep most n-grams that the model lacks out of the join.
+
+A trusted row would find all its own n-grams. So for trusted rows those that no
+other trusted document has count as unseen; thresholds then hold for new texts.
+Words are known by 64-bit hashes.
+
+A finished model of characters is cut into shards by the context's last character, so that an
 n-gram, its shorter forms and their contexts lie in one shard. A shard has at
 most about ``shard_rows`` rows; a task holds one shard at a time, adds up what it
 knows of the words at hand, and goes on to the next. So memory is bounded
@@ -25,6 +37,7 @@ empty table gives an empty result.
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections import Counter
 from collections.abc import Iterator
@@ -34,7 +47,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import saved, table, text_of
+from tessera.llm.common import released, saved, table, text_of
 from tessera.llm.pieces import BASE, MIX, slices
 
 ORDER = 5
@@ -44,6 +57,9 @@ TRUSTED_BOUND = 2_000_000
 QUANTILE = 0.99
 CHARS = 6_000_000
 ROOM = 300_000
+FIRST = np.uint64(0xB5297A4D3F84D5B5)  # the start mark among hashes of words
+SLOTS = 1 << 28  # bits of a bitmap of n-grams
+GRAMS = "u bigint, v bigint, w bigint, doc bigint"
 
 
 def _counter(order: int):
@@ -215,8 +231,8 @@ class Scorer:
                 del shared._value  # the next shard takes its place
         self.known.update(zip(words, range(at, need), strict=True))
 
-    def score(self, texts: list[str]) -> list[tuple[int, float | None]]:
-        """(characters scored, perplexity) of each text."""
+    def score(self, texts: list[str]) -> list[tuple[int, float | None, int]]:
+        """(characters scored, perplexity, words) of each text."""
         if len(self.known) > self.room:
             self.known.clear()
         split = [t.split() for t in texts]
@@ -224,15 +240,15 @@ class Scorer:
         get, out = self.known.__getitem__, []
         for ws in split:
             if not ws:
-                out.append((0, None))
+                out.append((0, None, 0))
                 continue
             logp, n = self.table[np.fromiter(map(get, ws), np.int64, len(ws))].sum(axis=0)
-            out.append((int(n), math.exp(-logp / n)))
+            out.append((int(n), math.exp(-logp / n), len(ws)))
         return out
 
 
 def perplexities(docs: DataFrame, model: DataFrame, unseen: float, keep: tuple[str, ...], text: str = "text", order: int = ORDER, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """``keep`` columns, n_scored and perplexity of each row."""
+    """``keep`` columns, n_scored, perplexity and n_words of each row."""
     spark = docs.sparkSession
     shards = max(1, -(-model.count() // shard_rows))
     if shards == 1:
@@ -260,10 +276,175 @@ def perplexities(docs: DataFrame, model: DataFrame, unseen: float, keep: tuple[s
             texts = batch.column("__t").to_pylist()
             got = [x for a, b in slices(texts, CHARS) for x in scorer.score(texts[a:b])]
             cols = {k: batch.column(k) for k in keep}
-            cols |= {"n_scored": pa.array([g[0] for g in got], pa.int64()), "perplexity": pa.array([g[1] for g in got], pa.float64())}
+            cols |= {"n_scored": pa.array([g[0] for g in got], pa.int64()), "perplexity": pa.array([g[1] for g in got], pa.float64()), "n_words": pa.array([g[2] for g in got], pa.int64())}
             yield pa.RecordBatch.from_pydict(cols)
 
-    return rows.mapInArrow(run, f"{head}, n_scored bigint, perplexity double")
+    return rows.mapInArrow(run, f"{head}, n_scored bigint, perplexity double, n_words bigint")
+
+
+class Words:
+    """Hashes of words; a bounded table keeps them."""
+
+    def __init__(self, room: int = ROOM):
+        self.room, self.known = room, {}
+
+    def sequences(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Hashes of the words of all texts, each text with two start marks before it; places of the words, and the text of each."""
+        split = [t.split() for t in texts]
+        if len(self.known) > self.room:
+            self.known.clear()
+        for w in {w for ws in split for w in ws} - self.known.keys():
+            self.known[w] = int.from_bytes(hashlib.blake2b(w.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
+        size = np.fromiter(map(len, split), np.int64, len(split))
+        text = np.repeat(np.arange(len(split)), size)
+        at = np.arange(size.sum()) + 2 * (text + 1)
+        flat = np.full(size.sum() + 2 * len(split), FIRST, np.uint64)
+        flat[at] = np.fromiter((self.known[w] for ws in split for w in ws), np.uint64, len(at))
+        return flat, at, text
+
+
+def _turned(x: np.ndarray, by: int) -> np.ndarray:
+    return x << np.uint64(by) | x >> np.uint64(64 - by)
+
+
+def _key(*words: str):
+    """Key of an n-gram in Spark, as ``lookups`` makes it: its hashed words, each turned by its place, taken together."""
+    turned = [F.shiftleft(F.col(w), by).bitwiseOR(F.shiftrightunsigned(F.col(w), 64 - by)) if by else F.col(w) for w, by in zip(words, (0, 21, 42)[3 - len(words) :], strict=True)]
+    out = turned[0]
+    for x in turned[1:]:
+        out = out.bitwiseXOR(x)
+    return out
+
+
+def _word_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The three words up to each word of the texts."""
+    hashed = Words()
+    for batch in batches:
+        texts, docs = batch.column("text").to_pylist(), batch.column("doc").to_numpy()
+        for a, b in slices(texts, CHARS):
+            flat, at, text = hashed.sequences(texts[a:b])
+            columns = [pa.array(flat[at - k].view(np.int64)) for k in (2, 1, 0)] + [pa.array(docs[a:b][text])]
+            yield pa.RecordBatch.from_arrays(columns, ["u", "v", "w", "doc"])
+
+
+def _vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Hashes and words of a task's texts."""
+    hashed = Words()
+    for batch in batches:
+        words = list({w for t in batch.column("text").to_pylist() for w in t.split()})
+        flat, at, _ = hashed.sequences([" ".join(words)])
+        yield pa.RecordBatch.from_arrays([pa.array(flat[at].view(np.int64)), pa.array(words, pa.string())], ["w", "word"])
+
+
+def word_model(learning: DataFrame, characters: DataFrame, unseen: float, order: int, shard_rows: int) -> tuple[DataFrame, float]:
+    """(key, gain, weight, gain_shared, weight_shared) of the n-grams of words, and the log of the share left to characters.
+
+    ``learning`` has text and doc. ``gain`` is what a seen n-gram adds to the log
+    probability by its shorter form, ``weight`` the log of the share that a seen
+    context leaves. The shared ones are 0 where only one document has them.
+    """
+    grams = learning.select("text", "doc").mapInArrow(_word_grams, GRAMS).groupBy("u", "v", "w")
+    spread = [F.min("lo").alias("lo"), F.max("hi").alias("hi")]
+    counts = {3: saved(grams.agg(F.count("*").alias("k"), F.min("doc").alias("lo"), F.max("doc").alias("hi")))}
+    counts[2] = saved(counts[3].groupBy("v", "w").agg(F.count("*").alias("k"), *spread))
+    counts[1] = saved(counts[2].groupBy("w").agg(F.count("*").alias("k"), *spread))
+    words = learning.select("text").mapInArrow(_vocabulary, "w bigint, word string").groupBy("w").agg(F.min("word").alias("word"))
+    spelt = perplexities(words, characters, unseen, ("w",), "word", order, shard_rows).select("w", (-F.col("n_scored") * F.log("perplexity")).alias("spelt"))
+    shared = F.col("lo") < F.col("hi")
+    parts, below, left = {}, None, 0.0
+    for n, names in ((1, ("w",)), (2, ("v", "w")), (3, ("u", "v", "w"))):
+        c = counts[n]
+        of = c.agg(*[F.count_if(F.col("k") == i).alias(f"n{i}") for i in (1, 2, 3, 4)]).first()
+        d = discounts(*(of[f"n{i}"] or 0 for i in (1, 2, 3, 4)))
+        off = F.when(F.col("k") == 1, d[0]).when(F.col("k") == 2, d[1]).otherwise(d[2])
+        if n == 1:
+            whole = c.agg(F.sum("k").alias("total"), F.sum(off).alias("mass")).first()
+            if not whole["total"]:
+                break
+            left = math.log(whole["mass"] / whole["total"])
+            seen = c.join(spelt, "w").withColumn("q", F.exp("spelt")).withColumn("over", (F.col("k") - off) / F.lit(whole["mass"]))
+            # a long word may be too rare for a double; the log of its odds is not
+            gain = F.when(F.col("q") > 1e-290, F.log1p(F.col("over") / F.col("q"))).otherwise(F.log("over") - F.col("spelt"))
+            below = saved(seen.select("w", F.log(F.col("over") + F.col("q")).alias("logp"), gain.alias("gain"), "lo", "hi").withColumn("logp", F.col("logp") + left))
+        else:
+            context = list(names[:-1])
+            rest = c.groupBy(*context).agg(F.sum("k").alias("total"), F.sum(off).alias("mass"), *spread)
+            weight = F.log(F.col("mass") / F.col("total"))
+            parts[n] = rest.select(_key(*context).alias("key"), F.lit(0.0).alias("gain"), weight.alias("weight"), F.lit(0.0).alias("gain_shared"), F.when(shared, weight).otherwise(0.0).alias("weight_shared"))
+            of_rest = rest.select(*context, "mass", F.log(F.col("mass") / F.col("total")).alias("weight"))
+            seen = c.join(of_rest, context).join(below.select(*names[1:], F.exp("logp").alias("q")), list(names[1:]))
+            seen = seen.withColumn("over", (F.col("k") - off) / F.col("mass"))
+            logp = F.col("weight") + F.log(F.col("over") + F.col("q"))
+            below = seen.select(*names, logp.alias("logp"), F.log1p(F.col("over") / F.col("q")).alias("gain"), "lo", "hi")
+            below = saved(below) if n == 2 else below
+        parts[-n] = below.select(_key(*names).alias("key"), "gain", F.lit(0.0).alias("weight"), F.when(shared, F.col("gain")).otherwise(0.0).alias("gain_shared"), F.lit(0.0).alias("weight_shared"))
+    if not parts:
+        empty = "key bigint, gain double, weight double, gain_shared double, weight_shared double"
+        return learning.sparkSession.createDataFrame([], empty), left
+    short = parts[-1].unionByName(parts[2]).unionByName(parts[-2]).unionByName(parts[3])
+    short = short.groupBy("key").agg(*[F.sum(x).alias(x) for x in ("gain", "weight", "gain_shared", "weight_shared")])
+    return saved(short.unionByName(parts[-3])), left
+
+
+def bitmap(keys: DataFrame, slots: int = SLOTS) -> np.ndarray:
+    """Bits of the slots that hold a key."""
+    slot = F.col("key").bitwiseAND(F.lit(slots - 1))
+    found = keys.select(F.floor(slot / 32768).alias("no"), F.expr(f"key & {min(slots, 32768) - 1}").alias("bit"))
+    rows = found.groupBy("no").agg(F.expr("bitmap_construct_agg(bit)").alias("bits")).toArrow()
+    out = np.zeros((max(1, slots // 32768), 4096), np.uint8)
+    for no, bits in zip(rows.column("no").to_pylist(), rows.column("bits").to_pylist(), strict=True):
+        out[no] = np.frombuffer(bits, np.uint8)
+    return out.ravel()
+
+
+def _held(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    slot = keys & np.uint64(8 * len(bits) - 1)
+    return bits[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8) & 1 > 0
+
+
+def lookups(docs: DataFrame, every, shared) -> DataFrame:
+    """(row, mine, key, ends, leads): how often each n-gram that may be in the model is in a text, as one that ends in a word and as a context. Takes row, mine and text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashed = Words()
+        for batch in batches:
+            texts, ids, mines = batch.column("text").to_pylist(), batch.column("row").to_numpy(), batch.column("mine").to_numpy(zero_copy_only=False)
+            for a, b in slices(texts, CHARS // 4):
+                flat, at, text = hashed.sequences(texts[a:b])
+                w, v, u = flat[at], flat[at - 1], flat[at - 2]
+                keys = [_turned(w, 42), _turned(v, 21) ^ _turned(w, 42), u ^ _turned(v, 21) ^ _turned(w, 42), _turned(v, 42), _turned(u, 21) ^ _turned(v, 42)]
+                key, of, lead = np.concatenate(keys), np.tile(text, 5), np.repeat([0, 0, 0, 1, 1], len(at))
+                mine = mines[a:b][of]
+                may = np.where(mine, _held(shared.value, key), _held(every.value, key))
+                key, of, lead = key[may], of[may], lead[may]
+                order_of = np.lexsort((key, of))
+                key, of, lead = key[order_of], of[order_of], lead[order_of]
+                new = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (of[1:] != of[:-1])))) if len(key) else np.zeros(0, np.int64)
+                leads = np.add.reduceat(lead, new) if len(new) else lead
+                ends = np.diff(np.append(new, len(key))) - leads
+                columns = [pa.array(ids[a:b][of[new]]), pa.array(mines[a:b][of[new]]), pa.array(key[new].view(np.int64)), pa.array(ends.astype(np.int32)), pa.array(leads.astype(np.int32))]
+                yield pa.RecordBatch.from_arrays(columns, ["row", "mine", "key", "ends", "leads"])
+
+    return docs.select("row", "mine", "text").mapInArrow(run, "row bigint, mine boolean, key bigint, ends int, leads int")
+
+
+def word_perplexities(held: DataFrame, learning: DataFrame, trusted: DataFrame, characters: DataFrame, unseen: float, order: int, shard_rows: int, slots: int = SLOTS) -> DataFrame:
+    """doc_id, lang, n_scored (words) and perplexity of each row under the model of words."""
+    row = F.xxhash64("doc_id", "text")  # copies of a row have one score
+    model, left = word_model(learning.withColumn("doc", F.xxhash64("doc_id")), characters, unseen, order, shard_rows)
+    spark = held.sparkSession
+    released(spark)  # counts of single steps are many times the model
+    every = spark.sparkContext.broadcast(bitmap(model.select("key"), slots))
+    shared = spark.sparkContext.broadcast(bitmap(model.where("gain_shared != 0 or weight_shared != 0").select("key"), slots))
+    base = saved(perplexities(held.withColumn("row", row), characters, unseen, ("doc_id", "lang", "row"), order=order, shard_rows=shard_rows))
+    marked = held.where("text is not null").join(trusted.withColumn("mine", F.lit(True)), "doc_id", "left")
+    asked = lookups(marked.select(row.alias("row"), F.coalesce("mine", F.lit(False)).alias("mine"), "text"), every, shared)
+    part = lambda x: F.when(F.col("mine"), F.col(f"{x}_shared")).otherwise(F.col(x))
+    sums = asked.join(model, "key").groupBy("row").agg(F.sum(F.col("ends") * part("gain") + F.col("leads") * part("weight")).alias("gained"))
+    extra = base.groupBy("row").agg(F.count("*").alias("copies")).join(sums, "row")
+    spelt = -F.col("n_scored") * F.log("perplexity") + F.col("n_words") * left
+    logp = spelt + F.coalesce(F.col("gained") / F.col("copies"), F.lit(0.0))
+    return base.join(extra, "row", "left").select("doc_id", "lang", F.col("n_words").alias("n_scored"), F.exp(-logp / F.col("n_words")).alias("perplexity"))
 
 
 def quality_classifier(
@@ -273,14 +454,22 @@ def quality_classifier(
     order: int = ORDER,
     trusted_bound: int = TRUSTED_BOUND,
     shard_rows: int = SHARD_ROWS,
+    words: bool = False,
 ) -> DataFrame:
-    """doc_id, lang, n_scored, perplexity, threshold and kept of each row of ``docs`` (doc_id, lang, text); labels have doc_id and quality."""
+    """doc_id, lang, n_scored, perplexity, threshold and kept of each row of ``docs`` (doc_id, lang, text); labels have doc_id and quality.
+
+    With ``words`` the model is the one over word sequences and counts words;
+    without, the one over characters alone that it falls back on.
+    """
     trusted = saved(labels.where("quality = 1 and doc_id is not null").select("doc_id").distinct())
     few = trusted.count() <= trusted_bound
     held = docs.select("doc_id", F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     learning = held.where("text is not null").join(F.broadcast(trusted) if few else trusted, "doc_id", "left_semi")
     model, unseen = estimate(learning, order)
-    scored = saved(perplexities(held, model, unseen, ("doc_id", "lang"), order=order, shard_rows=shard_rows))
+    if words:
+        scored = saved(word_perplexities(held, learning, F.broadcast(trusted) if few else trusted, model, unseen, order, shard_rows))
+    else:
+        scored = saved(perplexities(held, model, unseen, ("doc_id", "lang"), order=order, shard_rows=shard_rows))
     good = scored.where("perplexity is not null").join(F.broadcast(trusted) if few else trusted, "doc_id", "left_semi")
     by_lang = good.groupBy("lang").agg(F.percentile_approx("perplexity", quantile, 10_000).alias("t"))
     overall = good.agg(F.percentile_approx("perplexity", quantile, 10_000).alias("o"))
@@ -297,4 +486,4 @@ def quality_classifier(
 
 
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_classifier(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return quality_classifier(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), words=True)

@@ -379,6 +379,90 @@ def test_kneser_ney(spark, shard_rows):
     assert not got[len(texts) - 1]["kept"] and sum(g["kept"] for g in got.values()) > 30
 
 
+def brute_words(trusted, order):
+    """The model of words from its definition: trusted (doc, text) rows, characters below single words."""
+    spell = brute_kn([t for _, t in trusted], order)
+    counts, docs = Counter(), defaultdict(set)
+    for d, t in trusted:
+        s = [None, None, *t.split()]
+        for i in range(2, len(s)):
+            counts[tuple(s[i - 2 : i + 1])] += 1
+            docs[tuple(s[i - 2 : i + 1])].add(d)
+    levels = {3: counts}
+    for n in (2, 1):
+        levels[n] = Counter(g[1:] for g in levels[n + 1])
+        for g in levels[n + 1]:
+            docs[g[1:]] |= docs[g]
+    off, context, seen_in = {}, {}, defaultdict(set)
+    for n, c in levels.items():
+        of = Counter(min(k, 5) for k in c.values())
+        off[n] = kn_quality.discounts(of[1], of[2], of[3], of[4])
+        ctx = context[n] = {}
+        for g, k in c.items():
+            total, left = ctx.get(g[:-1], (0, 0.0))
+            ctx[g[:-1]] = (total + k, left + off[n][min(k, 3) - 1])
+            seen_in[g[:-1]] |= docs[g]
+
+    def p(gram, n, least):
+        if n == 0:
+            return spell(gram_word[0]) ** -(len(gram_word[0]) + 1)
+        gram = gram[-n:]
+        k = levels[n].get(gram, 0) if len(docs[gram]) >= least else 0
+        if k:  # a seen n-gram has the probability of the whole model
+            total, left = context[n][gram[:-1]]
+            return (k - off[n][min(k, 3) - 1]) / total + left / total * p(gram, n - 1, 1)
+        if gram[:-1] not in context[n] or (n > 1 and len(seen_in[gram[:-1]]) < least):
+            return p(gram, n - 1, least)
+        total, left = context[n][gram[:-1]]
+        return left / total * p(gram, n - 1, least)
+
+    gram_word = [""]
+
+    def perplexity(text, mine):
+        s = [None, None, *text.split()]
+        logs = []
+        for i in range(2, len(s)):
+            gram_word[0] = s[i]
+            logs.append(math.log(p(tuple(s[i - 2 : i + 1]), 3, 2 if mine else 1)))
+        return math.exp(-sum(logs) / len(logs)) if logs else None
+
+    return perplexity
+
+
+def test_kneser_ney_over_words(spark):
+    rng = random.Random(17)
+    lexicon = words(rng, 40)
+    follow = {w: rng.sample(lexicon, 3) for w in lexicon}
+
+    def prose(n):
+        out = [rng.choice(lexicon)]
+        while len(out) < n:
+            out.append(rng.choice(follow[out[-1]]))
+        return out
+
+    good = [prose(rng.randint(20, 60)) for _ in range(60)]
+    fresh = [prose(40) for _ in range(15)]
+    salad = [rng.sample(x, len(x)) for x in fresh]
+    texts = [" ".join(x) for x in good + fresh + salad] + [None, "", " \n ", "x", "qqq zzz", "é日 " * 40, " ".join(good[0])]
+    labels = spark.createDataFrame([(i, 1) for i in range(60)] + [(None, 1), (3, 1)], "doc_id long, quality int")
+    trusted = list(enumerate(texts[:60]))
+    want = brute_words(trusted, 3)
+    docs = table(spark, texts)
+    docs = docs.union(docs.where("doc_id in (61, 76)"))  # repeated rows
+    for bound in (1000, 0):
+        rows = kn_quality.quality_classifier(docs, labels, order=3, trusted_bound=bound, words=True).collect()
+        assert len(rows) == len(texts) + 2
+        for r in rows:
+            t = texts[r["doc_id"]] or ""
+            expected = want(t, r["doc_id"] < 60)
+            assert r["perplexity"] == (None if expected is None else pytest.approx(expected, rel=1e-8)), t
+            assert r["n_scored"] == len(t.split()) and r["kept"] == (expected is not None and r["perplexity"] <= r["threshold"])
+    kept = {r["doc_id"]: r["kept"] for r in rows}
+    assert sum(kept[i] for i in range(60, 75)) >= 13 and not any(kept[i] for i in range(75, 90))
+    none = by_id(kn_quality.quality_classifier(table(spark, ["a b", None]), labels.where("false"), words=True))
+    assert none[0]["kept"] and not none[1]["kept"]
+
+
 def test_classifier_without_trusted_rows(spark):
     labels = spark.createDataFrame([], "doc_id long, quality int")
     got = by_id(kn_quality.quality_classifier(table(spark, ["a b", None]), labels))
