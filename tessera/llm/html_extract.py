@@ -2,10 +2,12 @@
 
 Each page is parsed once to score its containers: blocks of text count for the
 container around them, half for the next one out, and text in links counts
-against. The page votes for the generalised tag-class path (digits as #) of its
-best container. Spark sums the votes per host. Then every page is extracted
+against. From the best one a page climbs to the article or main element around
+it, and on to the outermost container that adds only prose, so that a headline or
+lead beside the body stays. It votes for the generalised tag-class path (digits
+as #) of the container it comes to. Spark sums the votes per host. Then every page is extracted
 again with its host's winning path; a page on which that path has no text uses
-its own best container.
+its own container.
 
 The winners of up to ``host_bound`` hosts are broadcast; beyond that they are
 joined by host, a join that Spark may split where a host is large.
@@ -45,6 +47,9 @@ MARKS = frozenset(
     "navigation newsletter notice notices pager pagination popup promo promoted related share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split()
 )
 
+#: Text outside paragraphs, headings, lists and tables is prose from so many characters on.
+PROSE = 80
+
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|title|svg|iframe)\b[^>]*>.*?(?:</\1\s*>|\Z)"
     r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>|<[!?][^>]*>|</?[a-zA-Z][^<>]*(?:>|\Z)",
@@ -165,7 +170,7 @@ class Page:
         return element
 
     def best(self) -> tuple[int, float]:
-        """The best container and its score; the root of a page without text."""
+        """The container of the article and the score of the best one in it; the root of a page without text."""
         score: dict[int, float] = {}
         for element, text, links in self.blocks:
             worth = len(text) - 2 * links
@@ -177,7 +182,27 @@ class Page:
         if not score:
             return 0, 0.0
         top = min(score, key=lambda c: (-score[c], c))
-        return top, score[top]
+        return self.climbed(top), score[top]
+
+    def climbed(self, top: int) -> int:
+        """The article or main around a container, or a container further out that adds prose and nothing else."""
+        chain = [top]
+        while chain[-1]:
+            chain.append(self.parent[chain[-1]])
+        meets = dict(zip(chain, range(len(chain)), strict=True))  # where an element's ancestors meet the chain
+        for element in range(len(self.parent)):
+            if element not in meets:
+                meets[element] = meets[self.parent[element]]
+        least = next((i for i, c in enumerate(chain) if self.tag[c] in ("article", "main")), 0)
+        adds, other = {least}, len(chain)
+        for element, text, links in self.blocks:
+            if meets[element] <= least:
+                continue
+            if 2 * links < len(text) and (self.tag[element] in LEAF or len(text) >= PROSE):
+                adds.add(meets[element])
+            else:
+                other = min(other, meets[element])
+        return chain[max(i for i in adds if i < other)]
 
     def text(self, inside) -> str:
         """Blocks inside some elements, joined in page order."""
@@ -191,7 +216,7 @@ class Page:
         return "\n".join(keep)
 
     def extract(self, path: str | None) -> str:
-        """Text by a host's path, or else by the page's own best container."""
+        """Text by a host's path, or else by the page's own container."""
         if path is not None:
             out = self.text(i for i, p in enumerate(self.path) if p == path and self.tag[i] not in INLINE)
             if out:

@@ -284,6 +284,25 @@ def test_html(spark):
     assert paths["h.x"].endswith("body>article") and paths["g"] == "root>div.post-#"
 
 
+def test_html_headline_and_lead_beside_the_body(spark):
+    body, lead = "Body text that goes on. " * 80, "A lead of some length. " * 26
+    inside = {
+        "h1": (f"<article><h1>The headline</h1><div class=body><p>{body}</div></article>", ["The headline", body]),
+        "lead": (f"<article><h1>The headline</h1><div class=lead>{lead}</div><div class=body>{body}</div></article>", ["The headline", lead, body]),
+        "main": (f"<main><div><h1>The headline</h1></div><div><div class=body><p>{body}</div></div></main>", ["The headline", body]),
+        "outer": (f"<main><h1>The headline</h1><article><div class=lead>{lead}</div><p>{body}</article></main>", ["The headline", lead, body]),
+        "none": (f"<div class=post><h1>The headline</h1><div class=lead>{lead}</div><div class=body><p>{body}</div></div><div><a href=x>More of the same</a></div><div>v 1.2</div>", ["The headline", lead, body]),
+    }
+    rest = "<nav>menu</nav>{}<div class=related>other</div><div><a href=y>one</a> <a href=z>two</a></div><footer>foot</footer>"
+    rows = [(i, f"http://{host}/{i}", rest.format(html)) for host, (html, _) in inside.items() for i in range(3)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = html_extract.main_text(df).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        want = inside[r["url"].split("/")[2]][1]
+        assert r["text"] == "\n".join(x.strip() for x in want), r["url"]
+
+
 # languages
 
 LANGS = {"aa": "ka lo mi nu pe ra".split(), "bb": "zor vex qui jaf wub dip".split(), "cc": "çé ñu äö üß øl ły".split()}
