@@ -10,7 +10,9 @@ Reading: each member or record is checked (gzip checksum, version line, header
 lines, Content-Length, closing blank lines, block digest). After a failed check
 the reader searches for the next gzip member or version line that passes all
 checks, goes on there, and logs the bytes between as a quarantined gap with the
-reason. Plain and gzipped archives, one record a member or many, are read alike.
+reason. What a damaged gzip member unpacks to before it fails is read too; the
+gap is the rest. Plain and gzipped archives, one record a member or many, and
+both kinds in one archive, are read alike.
 
 Defined results: null html is an empty payload. A null page id sorts below all
 others; it is written as an empty id and read back as null. Repeated rows with
@@ -41,6 +43,7 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 
 _VERSION = re.compile(rb"WARC/1\.[01]\r\n")
+_START = re.compile(rb"WARC/1\.[01]\r\n|\x1f\x8b\x08")
 _ID = re.compile(r"<urn:page:(.*)>")
 
 
@@ -137,50 +140,73 @@ def _plain(data: bytes) -> Iterator[Record | Gap]:
         at = to
 
 
-def _member_at(data: bytes, at: int) -> tuple[bytes | None, int, str]:
-    """Unpacked gzip member at a place, the place after it, and why there is none."""
-    z, out, pos = zlib.decompressobj(31), [], at
-    try:
-        while not z.eof:
-            piece = data[pos : pos + 65536]
-            if not piece:
-                return None, at, "member is cut off"
+def _member_at(data: bytes, at: int) -> tuple[bytes, int, str]:
+    """What a gzip member at a place unpacks to, the place where it ends or fails, and why it fails."""
+    z, out, pos, step = zlib.decompressobj(31), [], at, 65536
+    while not z.eof:
+        piece = data[pos : pos + step]
+        if not piece:
+            return b"".join(out), pos, "member is cut off"
+        before = z.copy()
+        try:
             out.append(z.decompress(piece))
             pos += len(piece)
-    except zlib.error as e:
-        return None, at, f"bad member: {e}"[:80]
+        except zlib.error as e:
+            if len(piece) == 1:
+                return b"".join(out), pos, f"bad member: {e}"[:80]
+            z, step = before, max(1, step // 16)  # an error gives none of its piece: come nearer
     return b"".join(out), pos - len(z.unused_data), ""
 
 
+def _good(data: bytes, at: int) -> bool:
+    """True if a gzip member at a place gives a record."""
+    return any(isinstance(got, Record) for got in _plain(_member_at(data, at)[0]))
+
+
 def salvage(data: bytes) -> Iterator[Record | Gap]:
     """Records and gaps of an archive, in order."""
-    if data[:2] != b"\x1f\x8b" and (_VERSION.match(data) or b"\x1f\x8b\x08" not in data):
-        yield from _plain(data)
-        return
     at, size = 0, len(data)
     while at < size:
-        unpacked, after, why = _member_at(data, at)
-        if unpacked is not None and _VERSION.search(unpacked):
-            for got in _plain(unpacked):
-                if isinstance(got, Gap):
-                    whole = got.length == len(unpacked)
-                    yield Gap(at, after - at, got.reason, None if whole else got.offset)
-                else:
-                    yield Record(at, after - at, got.headers, got.block)
+        got, after, why = _record_at(data, at)
+        if got:
+            yield got
             at = after
             continue
-        why = why or "member holds no record"
+        kept: list[Record | Gap] = []
+        if data.startswith(b"\x1f\x8b", at):
+            unpacked, after, why = _member_at(data, at)
+            if not why and _VERSION.search(unpacked):
+                for got in _plain(unpacked):
+                    if isinstance(got, Gap):
+                        whole = got.length == len(unpacked)
+                        yield Gap(at, after - at, got.reason, None if whole else got.offset)
+                    else:
+                        yield Record(at, after - at, got.headers, got.block)
+                at = after
+                continue
+            kept, why = list(_plain(unpacked)), why or "member holds no record"
+        some = {(str(got.headers), got.block) for got in kept if isinstance(got, Record)}
         look = at
         while True:
-            to = data.find(b"\x1f\x8b\x08", look + 1)
-            if to < 0:
-                to = size
+            found = _START.search(data, look + 1)
+            to = found.start() if found else size
+            if not found:
                 break
-            unpacked, _, _ = _member_at(data, to)
-            if unpacked is not None and _VERSION.match(unpacked):
+            if data[to] == 0x1F:
+                if _good(data, to):
+                    break
+            # a member may hold records as they are; those that it gave are not new
+            elif (got := _record_at(data, to)[0]) and (to >= after or (str(got.headers), got.block) not in some):
                 break
             look = to
-        yield Gap(at, to - at, why)
+        if not some:
+            yield Gap(at, to - at, why)
+        else:
+            end = min(after, to)
+            rest = kept.pop().offset if isinstance(kept[-1], Gap) else None
+            for got in kept:
+                yield Gap(at, end - at, got.reason, got.offset) if isinstance(got, Gap) else Record(at, end - at, got.headers, got.block)
+            yield Gap(end, to - end, why, rest)
         at = to
 
 

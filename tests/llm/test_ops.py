@@ -257,6 +257,36 @@ def test_warc_many_records_in_one_member():
     assert list(warc.salvage(b"")) == [] and len(list(warc.salvage(b"nothing"))) == 1
 
 
+def test_warc_damage_in_members_of_many_records():
+    rng = random.Random(19)
+    records = [warc.record("response", str(i), None, " ".join(words(rng, 600)).encode()) for i in range(100)]
+    pages = lambda data: [g.headers["warc-record-id"][10:-1] for g in warc.salvage(data) if isinstance(g, warc.Record)]
+    gaps = lambda data: [g for g in warc.salvage(data) if isinstance(g, warc.Gap)]
+    every = [str(i) for i in range(100)]
+    whole = warc.member(b"".join(records))
+    assert pages(whole) == every and gaps(whole) == []
+    assert pages(whole[:-20]) == every[:99] and len(gaps(whole[:-20])) == 1
+    assert gaps(whole[:-20])[0].inside == sum(map(len, records[:99]))
+    bad = bytearray(whole)
+    bad[len(bad) // 2] ^= 0x55
+    some = pages(bytes(bad))
+    assert 40 <= len(some) and some[:40] == every[:40] and len(some) == len(set(some)) and gaps(bytes(bad))
+    bad = bytearray(whole)
+    bad[-6] ^= 1  # the checksum alone
+    assert pages(bytes(bad)) == every and len(gaps(bytes(bad))) == 1
+    # the next member is found though its first record is damaged
+    first = bytearray(records[1])
+    first[-40] ^= 1
+    data = b"junk" + warc.member(bytes(first) + b"".join(records[2:5])) + warc.member(records[5])
+    assert pages(data) == every[2:6] and gaps(data)[0].length == 4
+    # plain records after members, and members after plain records
+    assert pages(warc.member(records[0]) + records[1] + warc.member(records[2])) == every[:3]
+    assert pages(whole[:-2000] + records[99]) == [*pages(whole[:-2000]), "99"]
+    assert pages(records[0] + b"junk" + warc.member(records[1]) + records[2]) == every[:3]
+    stored = warc.member(b"".join(records), 0)
+    assert pages(stored[:-20]) == every[:99]
+
+
 def test_warc_files(spark, tmp_path):
     (tmp_path / "a.warc.gz").write_bytes(warc.member(warc.record("response", "9", "http://x", b"hello")) + b"rest")
     got = warc.read_archives(warc.archive_files(spark, str(tmp_path)), payload=True).collect()
