@@ -5,6 +5,7 @@ tokens, web tokens, key blocks, URL passwords) are added when the corpus shows
 them as owner-specific. For each candidate value the number of distinct owners
 and repositories is counted over the whole corpus: a value seen with more than
 ``max_owners`` owners is a widely copied example, any other is live-looking.
+Owners alone decide; the number of repositories is reported with each span.
 
 Positions come from splitting the text at the matches: the lengths of the
 pieces and of the matches add up to code point offsets.
@@ -91,8 +92,8 @@ def secret_scan(
 ) -> DataFrame:
     """Spans of each row with their verdicts.
 
-    Adds ``found``: sorted spans (start, kind_no, kind, end, live), and
-    n_assign, n_access, n_hex, base_sha256, spans, n_live.
+    Adds ``found``: sorted spans (start, kind_no, kind, end, live, n_owners,
+    n_repositories), and n_assign, n_access, n_hex, base_sha256, spans, n_live.
 
     Only rows with candidates are shuffled, without their texts. A value's
     owners are counted after a map-side distinct; the join back on the value's
@@ -115,9 +116,9 @@ def secret_scan(
         .withColumn("live", F.col("n_owners") <= max_owners)
         .where((F.col("s.kind_no") < BASE) | F.col("live"))
         .groupBy("__row")
-        .agg(F.sort_array(F.collect_list(F.struct("s.start", "s.kind_no", "s.kind", "s.end", "live"))).alias("found"))
+        .agg(F.sort_array(F.collect_list(F.struct("s.start", "s.kind_no", "s.kind", "s.end", "live", "n_owners", "n_repositories"))).alias("found"))
     )
-    empty = F.array().cast("array<struct<start:bigint,kind_no:int,kind:string,end:bigint,live:boolean>>")
+    empty = F.array().cast("array<struct<start:bigint,kind_no:int,kind:string,end:bigint,live:boolean,n_owners:bigint,n_repositories:bigint>>")
     out = rows.drop("__spans", "__owner", "__repo").join(judged, "__row", "left").withColumn("found", F.coalesce("found", empty))
     count = lambda no: F.size(F.filter("found", lambda s: s["kind_no"] == no)).cast("long")
     return out.select(

@@ -74,6 +74,14 @@ def test_secrets(spark):
     assert secrets.secret_scan(table(spark, texts).where("false")).count() == 0
 
 
+def test_secrets_count_owners_and_repositories(spark):
+    one, two = "0123456789abcdef01", "fedcba9876543210ff"
+    rows = [(1, f"x {one}", "a", "en"), (2, f"{one} {two}", "a", "de"), (3, one, "b", "de"), (4, one, None, None), (5, f"{one} {one}", "a", "en"), (6, "none", "a", "en")]
+    got = by_id(secrets.secret_scan(spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")))
+    counts = {i: [(s["n_owners"], s["n_repositories"]) for s in got[i]["found"]] for i in got}
+    assert counts == {1: [(3, 4)], 2: [(3, 4), (1, 1)], 3: [(3, 4)], 4: [(3, 4)], 5: [(3, 4), (3, 4)], 6: []}
+
+
 # decontamination
 
 
