@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import os
 import tempfile
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_LIBC = ctypes.CDLL(None)
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the data folder, read by Spark alone."""
@@ -16,13 +20,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def saved(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a checkpoint in the folder that the session names.
+    """Cut the lineage with a checkpoint in the folder that the session names in ``spark.checkpoint.dir``.
 
-    A folder of our own is set only where ``spark.checkpoint.dir`` is unset, as
-    in tests on one machine.
+    Where none is named, a session inside one process gets a folder of its own;
+    on a cluster that would lose rows, so there it is an error.
     """
     spark = df.sparkSession
     if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+        if not spark.sparkContext._jsc.sc().isLocal():
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(os.path.join(tempfile.gettempdir(), "tessera-checkpoints"))
     return df.checkpoint(eager=True)
 
@@ -33,6 +39,14 @@ def released(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def tidied() -> None:
+    """At the end of a Python task: give memory back that its worker, which Spark keeps for later tasks, would hold on to."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if hasattr(_LIBC, "malloc_trim"):
+        _LIBC.malloc_trim(0)
+
+
 def text_of(name: str = "text") -> Column:
     """A text column as string, null as empty."""
     return F.coalesce(F.col(name).cast("string"), F.lit(""))

@@ -4,8 +4,8 @@ A text is the set of its distinct 5-word shingles. Two texts are linked when
 their sets' Jaccard similarity is at least 3/4. Equal sets form one class, and
 only classes are compared; the result is the component of each document.
 
-1. One scan gives each row's class (a fingerprint of the whole set), the size of
-   its set and its count vector: the shingles hashed into ``GROUPS`` groups.
+1. One scan gives each row's class (a fingerprint of the whole set) and the size
+   of its set.
 2. In any common order of shingles (frequent ones last) the first l shingles
    that a pair with similarity t shares lie among the first n - ceil(t n) + l of
    each set. These deal the classes out: shingle ranges are shards, and the
@@ -13,15 +13,21 @@ only classes are compared; the result is the component of each document.
    others at fewer than l shingles has no partner and leaves. The order never
    changes which pairs are found, so the list of frequent shingles may be cut at
    a fixed length.
-3. Runs with the same least class are put together as a group. Its members are
-   points, their count vectors, in an R-tree: the sum of coordinate minima of a
-   vector and a box bounds every overlap in the box. First the least class is
-   searched for, then what is still in another component, best bounds first and
-   at last all. Surviving pairs are verified on the whole sets, which are fetched
-   for these pairs alone, and links are contracted after each round.
-
-No link between different sets is lost, and no group is expanded into all pairs:
-members of one component are not compared again.
+3. Runs with the same least class are put together as a group, and the whole sets
+   of the classes left are fetched once. A task holds the sets of one group: their
+   shingles hashed into ``GROUPS`` groups are points, the counts, in an R-tree,
+   and the sum of coordinate minima of a point and a box bounds every overlap in
+   the box. Surviving pairs are verified on the spot, best bounds first, and only
+   pairs that are not in one component yet; a task gives out only links that join
+   two components, so never more than it has members.
+4. A group with more than ``CHUNK`` shingles is cut into parts by a hash. First
+   each part is searched, then representatives of the components that the parts
+   found, as long as these become much fewer, and at last all pairs of parts that
+   hold members of different components. So the result is exact, and what a task
+   holds is bounded, whatever the size of a group.
+
+No link between different components is lost, and no group is expanded into all
+pairs: members of one component are not compared again.
 
 Defined results: null, empty and blank texts have no shingles, link with nothing
 and are their own component; a text of fewer than five words is one shingle of
@@ -40,21 +46,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from tessera.llm.common import released, saved, table, tasks, text_of
+from tessera.llm.common import released, saved, table, tasks, text_of, tidied
 from tessera.llm.components import components
 from tessera.llm.pieces import stretches
 
 SHINGLE = 5
-GROUPS = 64
+GROUPS = 128
 CHARS = 4_000_000
 #: A shingle seen in this many texts comes last in the order; at most HOT_LIST of them are listed.
 HOT, HOT_LIST = 32, 200_000
 SHARD_ROWS = 400_000
-FIRST = 16
-#: Lists of classes up to this length are broadcast to thin what a shuffle carries.
+#: Shingles of one group that a task holds at most (twice as many where two parts meet).
+CHUNK = 1_500_000
+#: Partners of a member that are verified first; then four times as many, and so on.
+CLOSE = 16
+#: Representatives are compared again as long as a round leaves less than this share of them apart.
+FEWER = 0.9
+#: Lists of classes or groups up to this length are broadcast.
 SHORT = 500_000
-#: Longs of the Bloom filter that keeps unneeded sets from being shuffled.
-SIEVE = 1 << 18
+#: Bits for each wanted class of the bitmap that keeps other sets from being shuffled, and its greatest size (128 MB).
+SIEVE, SIEVE_MOST = 16, 1 << 30
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _P = np.uint64(0x9E3779B97F4A7C15)
@@ -91,18 +102,6 @@ def _sets(texts: list[str]) -> Iterator[tuple[np.ndarray, int]]:
         yield s, (xxh3_64_intdigest(s.tobytes()) | 1) - (1 << 63) if len(s) else 0
 
 
-def _packed(s: np.ndarray) -> bytes:
-    """Count vector in bytes: a scale, then the counts over the scale, rounded up so that bounds still hold."""
-    count = np.bincount((s >> np.uint64(58)).astype(np.int64), minlength=GROUPS)
-    scale = max(1, -(-int(count.max()) // 255))
-    return np.uint32(scale).tobytes() + (-(-count // scale)).astype(np.uint8).tobytes()
-
-
-def _unpacked(vectors: list[bytes]) -> np.ndarray:
-    raw = np.frombuffer(b"".join(vectors), np.uint8).reshape(-1, GROUPS + 4)
-    return raw[:, 4:].astype(np.int64) * np.ascontiguousarray(raw[:, :4]).view(np.uint32).astype(np.int64)
-
-
 def _signed(a: np.ndarray) -> pa.Array:
     return pa.array(a.astype(np.int64))
 
@@ -111,11 +110,10 @@ def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row for each text, and for each stretch a row of its repeated shingles."""
     for batch in batches:
         for a, b, texts in stretches(batch.column("__t"), CHARS):
-            ids, sizes, vectors, own = [], [], [], {}
+            ids, sizes, own = [], [], {}
             for s, c in _sets(texts):
                 ids.append(c)
                 sizes.append(len(s))
-                vectors.append(_packed(s))
                 own.setdefault(c, s)
             token, count = np.unique(np.concatenate(list(own.values())), return_counts=True)
             often = count >= 3
@@ -124,10 +122,8 @@ def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             hot = pa.concat_arrays([hot.slice(0, rows), pa.array([token[often].astype(np.int64)], pa.list_(pa.int64()))])
             times = pa.concat_arrays([pa.nulls(rows, pa.list_(pa.int64())), pa.array([count[often]], pa.list_(pa.int64()))])
             held = pa.concat_arrays([batch.column("__keep").slice(a, rows), pa.nulls(1, batch.column("__keep").type)])
-            yield pa.RecordBatch.from_arrays(
-                [held, pa.array([*ids, None], pa.int64()), pa.array([*sizes, None], pa.int64()), pa.array([*vectors, None], pa.binary()), hot, times],
-                ["__keep", "c", "n", "vec", "hot", "times"],
-            )
+            yield pa.RecordBatch.from_arrays([held, pa.array([*ids, None], pa.int64()), pa.array([*sizes, None], pa.int64()), hot, times], ["__keep", "c", "n", "hot", "times"])
+    tidied()
 
 
 def _dealer(shared, bits: int):
@@ -164,6 +160,7 @@ def _dealer(shared, bits: int):
                 edge = np.flatnonzero(np.concatenate(([True], shard[1:] != shard[:-1], [True])))
                 blobs = [token[i:j].tobytes() + ids[doc[i:j]].tobytes() + size[doc[i:j]].astype(np.int32).tobytes() for i, j in zip(edge[:-1], edge[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(shard[edge[:-1]]), pa.array(blobs, pa.binary())], ["shard", "packed"])
+        tidied()
 
     return deal
 
@@ -238,53 +235,83 @@ class RTree:
         return self.order[nodes], bound
 
 
-def _searcher(most: int | None):
-    """Candidate pairs inside each group. With ``most`` 0 only those of its least class; else those between components, for each member
-    the ``most`` with the best bounds, or all."""
-
-    def search(data: pa.Table) -> pa.Table:
-        group, c, n, comp = (data.column(k).to_numpy() for k in ("lead", "c", "n", "comp"))
-        vec = _unpacked(data.column("vec").to_pylist())
-        order = np.lexsort((c, group))
-        edge = np.flatnonzero(np.concatenate(([True], group[order][1:] != group[order][:-1], [True])))
-        pairs: set[tuple[int, int]] = set()
-        for lo, hi in zip(edge[:-1], edge[1:], strict=True):
-            at = order[lo:hi]
-            names, of, count = np.unique(comp[at], return_inverse=True, return_counts=True)
-            if len(names) < 2:
-                continue
-            points, ids, sizes = vec[at], c[at], n[at]
-            tree = RTree(points, sizes)
-            for i in [0] if most == 0 else np.flatnonzero(of != count.argmax()):
-                found, bound = tree.search(points[i], sizes[i])
-                fit = (of[found] != of[i]) & (4 * sizes[found] >= 3 * sizes[i]) & (4 * sizes[i] >= 3 * sizes[found])
-                found, bound = found[fit], bound[fit]
-                if most:
-                    found = found[np.lexsort((ids[found], -bound / (sizes[found] + sizes[i])))[:most]]
-                x = int(ids[i])
-                pairs.update((min(x, y), max(x, y)) for y in ids[found].tolist())
-        a, b = (np.array([p[k] for p in sorted(pairs)], np.int64) for k in (0, 1))
-        return pa.table({"a": a, "b": b})
-
-    return search
+def joining(ids: np.ndarray, comp: np.ndarray, side: np.ndarray, flat: np.ndarray, size: np.ndarray) -> list[tuple[int, int]]:
+    """Links that join the components of some classes; ``flat`` has their sets one after another.
+
+    Classes on one side are not compared, but for those of side -1.
+    """
+    names, of = np.unique(comp, return_inverse=True)
+    apart, links = len(names), []
+    if apart < 2:
+        return links
+    start = np.cumsum(size) - size
+    member = np.repeat(np.arange(len(ids)), size)
+    points = np.bincount(member * GROUPS + (flat >> np.uint64(57)).astype(np.int64), minlength=len(ids) * GROUPS).reshape(-1, GROUPS).astype(np.int32)
+    tree = RTree(points, size)
+    for i in range(len(ids) - 1):
+        if apart == 1:
+            break
+        if (of[i + 1 :] == of[i]).all():
+            continue
+        found, bound = tree.search(points[i], size[i])
+        fit = (found > i) & (of[found] != of[i]) & (4 * size[found] >= 3 * size[i]) & (4 * size[i] >= 3 * size[found]) & ((side[found] != side[i]) | (side[i] < 0))
+        found, bound = found[fit], bound[fit]
+        found = found[np.lexsort((found, -bound / (size[found] + size[i])))]
+        own, step = flat[start[i] : start[i] + size[i]], CLOSE
+        while len(found):
+            now, found, step = found[:step], found[step:], step * 4
+            begin = np.cumsum(size[now]) - size[now]
+            theirs = flat[np.repeat(start[now] - begin, size[now]) + np.arange(size[now].sum())]
+            at = np.searchsorted(own, theirs)
+            at[at == len(own)] = 0
+            both = np.add.reduceat((own[at] == theirs).astype(np.int64), begin)
+            for j in now[100 * both >= 75 * (size[now] + size[i] - both)]:
+                if of[j] != of[i]:
+                    links.append((int(ids[i]), int(ids[j])))
+                    of[of == of[j]] = of[i]
+                    apart -= 1
+            found = found[of[found] != of[i]]
+    return links
+
+
+def _search(data: pa.Table) -> pa.Table:
+    """Links found in each unit of a bucket."""
+    order = np.lexsort([data.column(k).to_numpy() for k in ("c", "side", "unit")])
+    data = data.take(pa.array(order)).combine_chunks()
+    unit, side, c, comp = (data.column(k).to_numpy() for k in ("unit", "side", "c", "comp"))
+    sets = data.column("shingles").combine_chunks()
+    edge = np.frombuffer(sets.buffers()[1], np.int32)[sets.offset : sets.offset + len(sets) + 1] // 8
+    flat = np.frombuffer(sets.buffers()[2], np.uint64, int(edge[-1]))
+    cut = np.flatnonzero(np.concatenate(([True], unit[1:] != unit[:-1], [True])))
+    links: set[tuple[int, int]] = set()
+    for lo, hi in zip(cut[:-1], cut[1:], strict=True):
+        links.update(joining(c[lo:hi], comp[lo:hi], side[lo:hi], flat[edge[lo] : edge[hi]], np.diff(edge[lo : hi + 1]).astype(np.int64)))
+    a, b = (np.array([p[k] for p in sorted(links)], np.int64) for k in (0, 1))
+    out = pa.table({"a": a, "b": b})
+    del data, sets, flat
+    tidied()
+    return out
 
 
 def _fetcher(shared):
-    """Whole sets of the classes in a Bloom filter, once per task."""
+    """Whole sets of the classes in a bitmap, once per task."""
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sieve, seen = shared.value, set()
+        mask = 8 * len(sieve) - 1
         for batch in batches:
             for _, _, texts in stretches(batch.column("__t"), CHARS):
                 ids, sets = [], []
                 for s, c in _sets(texts):
-                    if c and c not in seen and sieve[(c >> 6) % SIEVE] >> np.uint64(c & 63) & np.uint64(1):
+                    slot = (c >> 8) & mask
+                    if c and c not in seen and sieve[slot >> 3] >> (slot & 7) & 1:
                         seen.add(c)
                         ids.append(c)
-                        sets.append(s.view(np.int64))
+                        sets.append(s.tobytes())
                 if len(seen) > 1_000_000:
                     seen.clear()
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["c", "shingles"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.binary())], ["c", "shingles"])
+        tidied()
 
     return fetch
 
@@ -294,18 +321,94 @@ def _short(rows: DataFrame) -> DataFrame:
     return F.broadcast(rows) if rows.count() <= SHORT else rows
 
 
-def _fetched(text_rows: DataFrame, classes: DataFrame, have: DataFrame) -> DataFrame:
-    """(c, shingles) of some classes that are not at hand yet. A Bloom filter of fixed size thins the scan, a join does the rest."""
-    spark = text_rows.sparkSession
-    needed = saved(classes.join(have.select("c"), "c", "left_anti"))
-    word = F.pmod(F.shiftright("c", 6), F.lit(SIEVE))
-    filled = needed.groupBy(word.alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(c & 63 as int))")).alias("bits")).toArrow()
-    if not filled.num_rows:
-        return have.limit(0)
-    sieve = np.zeros(SIEVE, np.int64)
-    sieve[filled.column("w").to_numpy()] = filled.column("bits").to_numpy()
-    fetched = text_rows.mapInArrow(_fetcher(spark.sparkContext.broadcast(sieve.view(np.uint64))), "c bigint, shingles array<bigint>")
-    return saved(fetched.join(_short(needed), "c", "left_semi").groupBy("c").agg(F.first("shingles").alias("shingles")))
+def _sieve(classes: DataFrame) -> np.ndarray:
+    """Bitmap of the classes. Its size follows their number up to a bound, beyond which more unwanted sets pass it."""
+    bits = 1 << 15
+    wanted = SIEVE * classes.count()
+    while bits < min(wanted, SIEVE_MOST):
+        bits *= 2
+    slot = F.shiftright("c", 8).bitwiseAND(F.lit(bits - 1))
+    found = classes.select(F.shiftright(slot, 15).alias("no"), F.expr(f"shiftright(c, 8) & {(1 << 15) - 1}").alias("bit"))
+    rows = found.groupBy("no").agg(F.expr("bitmap_construct_agg(bit)").alias("bits")).toArrow()
+    out = np.zeros((bits >> 15, 1 << 12), np.uint8)
+    for no, own in zip(rows.column("no").to_pylist(), rows.column("bits").to_pylist(), strict=True):
+        out[no] = np.frombuffer(own, np.uint8)
+    return out.ravel()
+
+
+def _fetched(text_rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """(c, shingles) of some classes, saved. The bitmap thins the scan, a join does the rest."""
+    shared = text_rows.sparkSession.sparkContext.broadcast(_sieve(classes))
+    fetched = text_rows.mapInArrow(_fetcher(shared), "c bigint, shingles binary")
+    return saved(fetched.join(classes, "c", "left_semi").dropDuplicates(["c"]))
+
+
+def _within(members: DataFrame) -> DataFrame:
+    """Members (lead, c, n, comp) with the part of their group that they are searched in."""
+    spark = members.sparkSession
+    large = saved(members.groupBy("lead").agg(F.ceil(F.sum("n") / CHUNK).cast("long").alias("parts")).where("parts > 1"))
+    part = F.pmod(F.xxhash64("c"), F.coalesce("parts", F.lit(1).cast("long")))
+    return members.join(_short(large), "lead", "left").select(F.xxhash64("lead", part).alias("unit"), F.lit(-1).alias("side"), "c", "n", "comp")
+
+
+def _across(members: DataFrame) -> DataFrame:
+    """Members of groups with several components, once for each other part of the group.
+
+    The largest component of a group is one side; its parts meet those of the
+    others, and the others' parts meet one another.
+    """
+    each = members.groupBy("lead", "comp").agg(F.sum("n").alias("s"))
+    top = each.groupBy("lead").agg(F.max_by("comp", "s").alias("major"), F.max("s").alias("x"), F.sum("s").alias("y"), F.count("*").alias("k")).where("k > 1")
+    top = saved(top.select("lead", "major", F.ceil(F.col("x") / CHUNK).cast("long").alias("m1"), F.ceil((F.col("y") - F.col("x")) / CHUNK).cast("long").alias("m2")))
+    held = members.join(_short(top), "lead").withColumn("minor", F.col("comp") != F.col("major"))
+    held = held.withColumn("own", F.pmod(F.xxhash64("c"), F.when(F.col("minor"), F.col("m2")).otherwise(F.col("m1"))))
+    own = F.col("own")
+
+    def meeting(kind: int, i, j, side):
+        return F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"), side.cast("int").alias("side"))
+
+    among = F.transform(F.sequence(F.lit(0).cast("long"), F.col("m2") - 1), lambda j: meeting(0, F.least(own, j), F.greatest(own, j), F.when(own == j, -1).when(own < j, 0).otherwise(1)))
+    small = F.transform(F.sequence(F.lit(0).cast("long"), F.col("m1") - 1), lambda j: meeting(1, own, j, F.lit(0)))
+    large = F.transform(F.sequence(F.lit(0).cast("long"), F.col("m2") - 1), lambda i: meeting(1, i, own, F.lit(1)))
+    held = held.withColumn("x", F.explode(F.when(F.col("minor"), F.concat(among, small)).otherwise(large)))
+    return held.select(F.xxhash64("lead", "x.kind", "x.i", "x.j").alias("unit"), "x.side", "c", "n", "comp")
+
+
+def _found(units: DataFrame, sets: DataFrame) -> DataFrame:
+    """Saved links of all units. The number of buckets follows the shingles that the units hold."""
+    units = saved(units)
+    most = units.agg(F.sum("n")).first()[0] or 0
+    buckets = max(tasks(units.sparkSession), -(-most // CHUNK))
+    held = units.drop("n").join(sets, "c").withColumn("bucket", F.pmod(F.xxhash64("unit"), F.lit(buckets)))
+    return saved(held.groupBy("bucket").applyInArrow(_search, "a bigint, b bigint").distinct())
+
+
+def _linked(groups: DataFrame, sets: DataFrame) -> DataFrame:
+    """(node, label) of the classes that have a link, from groups (lead, c, n)."""
+
+    def named(rows: DataFrame, labels: DataFrame) -> DataFrame:
+        return rows.join(labels.withColumnRenamed("node", "c"), "c", "left").select("lead", "c", "n", F.coalesce("label", "c").alias("comp"))
+
+    links = _found(_within(groups.withColumn("comp", F.col("c"))), sets)
+    labels = components(links)
+    large = saved(groups.join(groups.groupBy("lead").agg(F.sum("n").alias("s")).where(F.col("s") > CHUNK).select("lead"), "lead", "left_semi"))
+    if large.isEmpty():
+        return labels
+    before = None
+    while True:
+        members = saved(named(large, labels))
+        few = members.groupBy("lead", "comp").agg(F.min_by("c", F.xxhash64("c")).alias("c"), F.min_by("n", F.xxhash64("c")).alias("n"))
+        few = saved(few.join(few.groupBy("lead").agg(F.count("*").alias("k")).where("k > 1").select("lead"), "lead", "left_semi").select("lead", "c", "n", "comp"))
+        apart = few.count()
+        if not apart or before is not None and apart > FEWER * before:
+            break
+        before = apart
+        links = saved(links.unionByName(_found(_within(few), sets)))
+        labels = components(links)
+    if apart:
+        links = links.unionByName(_found(_across(members), sets))
+        labels = components(links)
+    return labels
 
 
 def ngram_jaccard_join(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -313,7 +416,7 @@ def ngram_jaccard_join(docs: DataFrame, text: str = "text", doc_id: str = "doc_i
     spark = docs.sparkSession
     rows = docs.select(F.col(doc_id).alias("__keep"), text_of(text).alias("__t"))
     kind = rows.schema["__keep"].dataType.simpleString()
-    scan = saved(rows.mapInArrow(_classes, f"__keep {kind}, c bigint, n bigint, vec binary, hot array<bigint>, times array<bigint>"))
+    scan = saved(rows.mapInArrow(_classes, f"__keep {kind}, c bigint, n bigint, hot array<bigint>, times array<bigint>"))
     light = scan.where(F.col("hot").isNull()).select("__keep", "c", "n")
 
     each = scan.where(F.col("hot").isNotNull()).select(F.explode(F.arrays_zip("hot", "times")).alias("x"))
@@ -325,6 +428,8 @@ def ngram_jaccard_join(docs: DataFrame, text: str = "text", doc_id: str = "doc_i
     dealt = text_rows.mapInArrow(_dealer(spark.sparkContext.broadcast(hot), bits), "shard bigint, packed binary")
     runs = dealt.groupBy("shard").applyInArrow(_runs, "run bigint, c bigint, n bigint, w bigint")
     runs = saved(runs.groupBy("run", "c", "n").agg(F.sum("w").alias("w")))
+    del dealt
+    released(spark)  # what was dealt out is the most that is ever shuffled
     for _ in range(2):
         # a partner has at least 3/4 of the size and so at least its own number of meetings
         least = 1 + F.floor(F.ceil(F.col("n") * 3 / 4) / 8)
@@ -334,37 +439,13 @@ def ngram_jaccard_join(docs: DataFrame, text: str = "text", doc_id: str = "doc_i
 
     least = runs.groupBy("run").agg(F.min("c").alias("lead"))
     groups = saved(runs.join(least, "run").select("lead", "c", "n").distinct())
-    vectors = scan.where(F.col("hot").isNull() & (F.col("n") > 0)).select("c", "vec").join(groups.select("c").distinct(), "c", "left_semi")
-    groups = saved(groups.join(vectors.groupBy("c").agg(F.first("vec").alias("vec")), "c"))
-    empty = spark.createDataFrame([], "a bigint, b bigint")
-    sets, tested, links = spark.createDataFrame([], "c bigint, shingles array<bigint>"), empty, empty
-    labels = spark.createDataFrame([], "node bigint, label bigint")
-    buckets = max(tasks(spark) * 4, 64)
-    for most in (0, FIRST, None):
-        released(spark)
-        held = groups.join(labels.withColumnRenamed("node", "c"), "c", "left").select("lead", "c", "n", "vec", F.coalesce("label", "c").alias("comp"))
-        if most != 0:
-            apart = held.groupBy("lead").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("k")).where("x <> y and k > 2")
-            held = held.join(apart.select("lead"), "lead", "left_semi")
-        held = held.withColumn("bucket", F.pmod(F.hash("lead"), F.lit(buckets)))
-        pairs = held.groupBy("bucket").applyInArrow(_searcher(most), "a bigint, b bigint").distinct()
-        pairs = saved(pairs.join(tested, ["a", "b"], "left_anti"))
-        if pairs.isEmpty():
-            continue
-        tested = tested.unionByName(pairs)
-        classes = saved(pairs.select(F.col("a").alias("c")).unionByName(pairs.select(F.col("b").alias("c"))).distinct())
-        sets = sets.unionByName(_fetched(text_rows, classes, sets))
-        used = sets.join(_short(classes), "c", "left_semi")
-        left, right = (used.select(F.col("c").alias(k), F.col("shingles").alias("s" + k)) for k in ("a", "b"))
-        shared = F.size(F.array_intersect("sa", "sb"))
-        more = pairs.join(left, "a").join(right, "b").where(100 * shared >= 75 * (F.size("sa") + F.size("sb") - shared)).select("a", "b")
-        links = links.unionByName(saved(more))
-        labels = components(links)
+    sets = _fetched(text_rows, saved(groups.select("c").distinct()))
+    labels = _linked(groups, sets)
 
-    named = light.join(labels.withColumnRenamed("node", "c"), "c", "left").withColumn("label", F.coalesce("label", "c"))
-    least = named.where(F.col("n") > 0).groupBy("label").agg(F.min("__keep").alias("__least"))
-    linked = named.where(F.col("n") > 0).join(least, "label").select("__keep", "n", "__least")
-    alone = named.where(F.col("n") == 0).select("__keep", "n", F.col("__keep").alias("__least"))
+    first = light.where("n > 0").groupBy("c").agg(F.min("__keep").alias("least")).join(labels.withColumnRenamed("node", "c"), "c", "left").withColumn("label", F.coalesce("label", "c"))
+    over = first.groupBy("label").agg(F.min("least").alias("__least"))
+    linked = light.where("n > 0").join(first.join(over, "label").select("c", "__least"), "c").select("__keep", "n", "__least")
+    alone = light.where("n = 0").select("__keep", "n", F.col("__keep").alias("__least"))
     return linked.unionByName(alone).select(F.col("__keep").alias(doc_id), F.col("n").alias("n_shingles"), F.col("__least").alias("component_id"))
 
 

@@ -550,9 +550,11 @@ def brute_components(texts):
     return [(len(s), root(i)) for i, s in enumerate(sets)]
 
 
-@pytest.mark.parametrize("hot", [32, 2])
-def test_jaccard_join(spark, monkeypatch, hot):
+@pytest.mark.parametrize(("hot", "chunk"), [(32, ngram_join.CHUNK), (2, ngram_join.CHUNK), (32, 1500)])
+def test_jaccard_join(spark, monkeypatch, hot, chunk):
+    """The last case cuts the larger groups into parts."""
     monkeypatch.setattr(ngram_join, "HOT", hot)
+    monkeypatch.setattr(ngram_join, "CHUNK", chunk)
     rng = random.Random(hot)
     passage = words(rng, 30)
     texts = odd_texts(rng) + ["a b c", "A  b\nc", "a b", "one two three four five", "ONE two three four five"]
@@ -579,6 +581,27 @@ def test_jaccard_join_of_nothing(spark):
     assert by_id(ngram_join.ngram_jaccard_join(table(spark, [None, "", " "])))[2]["component_id"] == 2
 
 
+def test_links_join_what_brute_force_joins():
+    """Sides and parts: with two sides only pairs across count, and there are never more links than members less one."""
+    rng = np.random.default_rng(5)
+    sets = [np.unique(rng.integers(0, 1 << 63, 40, np.uint64)) for _ in range(6)]
+    sets += [np.unique(np.concatenate([s[:36], rng.integers(0, 1 << 63, 4, np.uint64)])) for s in sets for _ in range(3)]
+    ids, size, flat = np.arange(len(sets)) + 100, np.array([len(s) for s in sets]), np.concatenate(sets)
+    side = rng.integers(0, 2, len(sets))
+    for sides in (np.full(len(sets), -1), side):
+        got = ngram_join.joining(ids, ids, sides, flat, size)
+        want = {(i, j) for i in range(len(sets)) for j in range(i) if (sides[i] < 0 or sides[i] != sides[j]) and 7 * len(np.intersect1d(sets[i], sets[j])) >= 3 * (size[i] + size[j])}
+
+        def groups(pairs):
+            of = list(range(len(sets)))
+            for i, j in pairs:
+                a, b = of[i], of[j]
+                of = [min(a, b) if x in (a, b) else x for x in of]
+            return of
+
+        assert len(got) < len(sets) and groups([(a - 100, b - 100) for a, b in got]) == groups(want)
+
+
 def test_rtree_finds_all_that_may_fit():
     rng = np.random.default_rng(1)
     points = rng.integers(0, 6, (300, ngram_join.GROUPS)) * rng.integers(0, 3, (300, 1))
