@@ -39,6 +39,11 @@ def released(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def lightened(spark: SparkSession, size: str = "8m") -> None:
+    """From now on Arrow batches hold about so many bytes: 10,000 long texts a batch would fill an executor."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+
+
 def tidied() -> None:
     """At the end of a Python task: give memory back that its worker, which Spark keeps for later tasks, would hold on to."""
     gc.collect()

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import saved, table
+from tessera.llm.common import lightened, saved, table, tidied
 
 WINDOW = 10
 BLOCK_WORDS = 200_000
@@ -229,6 +229,7 @@ def _scanner(shared, name: str):
                 items.append(sorted(found))
             cols |= {"n_words": pa.array(n_words, pa.int64()), "hits": pa.array(hits, _HIT), "items": pa.array(items, pa.list_(pa.string()))}
             yield pa.RecordBatch.from_pydict(cols)
+        tidied()
 
     scan.__name__ = name
     return scan
@@ -246,6 +247,7 @@ def benchmark_hits(
 ) -> DataFrame:
     """``keep`` columns, n_words, hits (stretches of word positions) and items of each row. Nothing is shuffled when the items fit one block."""
     spark = docs.sparkSession
+    lightened(spark)
     blocks = blocks_of(items, item_id, item_text, block_words, window)
     rows = docs.select(*[F.col(k).alias(k) for k in keep], F.col(text).cast("string").alias("__t"))
     head = ", ".join(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keep)
@@ -327,6 +329,7 @@ def decontaminated(docs: DataFrame, items: DataFrame, max_words: int = 0, max_co
             texts, hits = batch.column("__body").to_pylist(), batch.column("__long").to_pylist()
             texts = [cleaned(t, [(h["start"], h["end"]) for h in x]) if x else t for t, x in zip(texts, hits, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("__held"), pa.array(texts, pa.string()), pa.array([bool(x) for x in hits])], ["__held", "__body", "__cut"])
+        tidied()
 
     kind = found.schema["__held"].dataType.simpleString()
     out = found.select("__held", "__body", "__long").mapInArrow(cut, f"__held {kind}, __body string, __cut boolean")

@@ -46,7 +46,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from tessera.llm.common import released, saved, table, tasks, text_of, tidied
+from tessera.llm.common import lightened, released, saved, table, tasks, text_of, tidied
 from tessera.llm.components import components
 from tessera.llm.pieces import stretches
 
@@ -414,6 +414,7 @@ def _linked(groups: DataFrame, sets: DataFrame) -> DataFrame:
 def ngram_jaccard_join(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """doc_id, n_shingles and component_id of each row."""
     spark = docs.sparkSession
+    lightened(spark)
     rows = docs.select(F.col(doc_id).alias("__keep"), text_of(text).alias("__t"))
     kind = rows.schema["__keep"].dataType.simpleString()
     scan = saved(rows.mapInArrow(_classes, f"__keep {kind}, c bigint, n bigint, hot array<bigint>, times array<bigint>"))

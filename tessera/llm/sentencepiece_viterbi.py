@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import table, text_of
+from tessera.llm.common import lightened, table, text_of, tidied
 from tessera.llm.pieces import BASE, MARK, NEVER, Pieces, coded, default_path, slices, units
 
 LONG = 256
@@ -165,6 +165,7 @@ def normal(text: str) -> str:
 
 def encode(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), model_path: str | None = None) -> DataFrame:
     """``keep`` columns, ids, n_tokens and round_trip (decoding the ids gave the text back)."""
+    lightened(docs.sparkSession)
     with open(model_path or default_path(), "rb") as file:
         shared = docs.sparkSession.sparkContext.broadcast(file.read())
     rows = docs.select(*[F.col(k).alias(k) for k in keep], text_of(text).alias("__t"))
@@ -183,6 +184,8 @@ def encode(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id
                 cols = {k: batch.column(k).slice(a, b - a) for k in keep}
                 cols |= {"ids": pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)), "n_tokens": pa.array(size), "round_trip": pa.array(same)}
                 yield pa.RecordBatch.from_pydict(cols)
+        del codec
+        tidied()
 
     return rows.mapInArrow(run, f"{head}, ids array<int>, n_tokens bigint, round_trip boolean")
 
@@ -200,6 +203,7 @@ def decode(encoded: DataFrame, ids: str = "ids", keep: tuple[str, ...] = ("doc_i
             cols = {k: batch.column(k) for k in keep}
             cols["text"] = pa.array([codec.decode(x or []) for x in batch.column("__ids").to_pylist()], pa.string())
             yield pa.RecordBatch.from_pydict(cols)
+        tidied()
 
     return rows.mapInArrow(run, f"{head}, text string")
 
