@@ -2,12 +2,14 @@
 
 Filters are two-valued: a leaf on a missing field is false, its negated form
 true, and never NULL. What a leaf means depends on the column's type, which is
-known when the plan is made, so the compiled predicate stays inside code
-generation and its comparisons can be pushed down.
+known when the plan is made, so the predicate stays inside code generation. For
+WHERE, which drops NULL like false, ``Compiler.where`` leaves comparisons bare
+under ``and`` and ``or``, so that they reach the scan.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from functools import reduce
 
@@ -102,22 +104,32 @@ def _equal(col: Column, kind: T.DataType, value) -> Column | None:
     if want == "list":
         same = [v for v in value if _kind(v) == have]
         return col.isin(same) if same else None
+    if have == want == "float" or (have, want) == ("float", "int"):
+        return _near(col, float(value))
     if have == want:
-        return F.abs(col - F.lit(value)) < EPSILON if have == "float" else col == F.lit(value)
-    if {have, want} == {"int", "float"}:
-        return F.abs(col.cast("double") - F.lit(float(value))) < EPSILON
+        return col == F.lit(value)
+    if (have, want) == ("int", "float"):
+        if abs(value) < 1 << 53:  # below, whole numbers are told apart as doubles
+            return col == F.lit(round(value)) if abs(round(value) - value) < EPSILON else None
+        return _near(col.cast("double"), value)
     return None
 
 
+def _near(col: Column, value: float) -> Column:
+    """Within EPSILON of a value. The bounds around it, a little wider, are what a scan can use."""
+    if not math.isfinite(value):
+        return F.abs(col - F.lit(value)) < EPSILON
+    low, high = math.nextafter(value - EPSILON, -math.inf), math.nextafter(value + EPSILON, math.inf)
+    return (col >= F.lit(low)) & (col <= F.lit(high)) & (F.abs(col - F.lit(value)) < EPSILON)
+
+
 def _range(col: Column, kind: T.DataType, node: dict) -> Column | None:
-    """Bounds on numbers. A NaN passes, since no bound rejects it."""
+    """Bounds on numbers. A NaN passes, since no bound rejects it, and so bounds on real numbers are tested after the scan."""
     if not isinstance(kind, NUMERIC):
         return None
-    out = col.isNotNull()
-    for name, test in (("gte", lambda v: col >= v), ("lte", lambda v: col <= v), ("gt", lambda v: col > v), ("lt", lambda v: col < v)):
-        if node.get(name) is not None:
-            out = out & test(F.lit(node[name]))
-    return (out | F.isnan(col)) if isinstance(kind, (T.FloatType, T.DoubleType)) else out
+    bounds = [test(F.lit(node[name])) for name, test in (("gte", lambda v: col >= v), ("lte", lambda v: col <= v), ("gt", lambda v: col > v), ("lt", lambda v: col < v)) if node.get(name) is not None]
+    inside = reduce(lambda a, b: a & b, bounds, F.lit(True))
+    return col.isNotNull() & ((inside | F.isnan(col)) if isinstance(kind, (T.FloatType, T.DoubleType)) else inside)
 
 
 def _contains(col: Column, kind: T.DataType, value) -> Column | None:
@@ -176,6 +188,10 @@ class Compiler:
 
     def compile(self, node: dict | None) -> Column:
         """Two-valued predicate of a tree; no tree passes all rows."""
+        return F.coalesce(self.where(node), F.lit(False))
+
+    def where(self, node: dict | None) -> Column:
+        """The same for WHERE: true for the rows that pass, false or NULL for others."""
         return F.lit(True) if not node else self._compile(checked(node))
 
     def _compile(self, node: dict) -> Column:
@@ -185,11 +201,16 @@ class Compiler:
         if op == "or":
             return reduce(lambda a, b: a | b, map(self._compile, node["filters"]), F.lit(False))
         if op == "not":
-            return ~self._compile(node["filter"])
+            return ~F.coalesce(self._compile(node["filter"]), F.lit(False))
         test = self.leaf(node)
         if op in ("not_eq", "not_in"):
-            return F.lit(True) if test is None else F.coalesce(~test, F.lit(True))
-        return F.lit(False) if test is None else F.coalesce(test, F.lit(False))
+            if test is None:
+                return F.lit(True)
+            kind = self.types.get(node["field"])
+            if kind is None or isinstance(kind, T.ArrayType):  # a list may hold NULLs
+                return F.coalesce(~test, F.lit(True))
+            return F.col(f"`{node['field']}`").isNull() | ~test
+        return F.lit(False) if test is None else test
 
     def write_scope(self, node: dict) -> Column:
         """Predicate of a write scope: a missing field is unknown through and, or and not; only what surely matches passes."""
@@ -215,8 +236,3 @@ def combined(policy: dict | None, caller: dict | None) -> dict | None:
     if policy and caller:
         return {"op": "and", "filters": [policy, caller]}
     return policy or caller
-
-
-def oversampled(k: int, factor: int = 3) -> int:
-    """Rows to fetch where an approximate source filters afterwards."""
-    return max(k * factor, k)

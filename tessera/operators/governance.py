@@ -54,7 +54,7 @@ def decide(grants: Iterable[Grant], action: str, namespace: str) -> Decision:
 
 def visible(rows: DataFrame, decision: Decision, present=None) -> DataFrame:
     """Rows that the policy shows, without masked fields. ``present`` tests that a row has attributes at all."""
-    out = rows.where(Compiler(rows.schema).compile(decision.filter))
+    out = rows.where(Compiler(rows.schema).where(decision.filter))
     if decision.filter and present is not None:
         out = out.where(present)
     return out.drop(*decision.mask)

@@ -97,7 +97,7 @@ def ann_dot_topk(spark, sf):
 @register("ann_filtered", topk_sql(COS("embedding", "e"), where="label = 3"))
 def ann_filtered(spark, sf):
     rows = vectors(spark, sf)
-    keep = Compiler(rows.schema).compile({"op": "eq", "field": "label", "value": 3})
+    keep = Compiler(rows.schema).where({"op": "eq", "field": "label", "value": 3})
     return rounded(ann.exact(rows, vector(spark, sf), "cosine", 10, keep), "score")
 
 
@@ -110,7 +110,7 @@ def ann_by_id(spark, sf):
 def ann_policy_scoped(spark, sf):
     decision = governance.decide([governance.Grant(frozenset(["query"]), filter={"op": "in", "field": "label", "values": [1, 2]})], "query", "vectors")
     rows = governance.visible(vectors(spark, sf), decision)
-    return rounded(ann.exact(rows, vector(spark, sf), "cosine", 10, Compiler(rows.schema).compile({"op": "not_eq", "field": "label", "value": 1})), "score")
+    return rounded(ann.exact(rows, vector(spark, sf), "cosine", 10, Compiler(rows.schema).where({"op": "not_eq", "field": "label", "value": 1})), "score")
 
 
 BATCH = f"""near AS (SELECT q.vec_id AS query_id, e.vec_id AS id, {COS('q.embedding', 'e.embedding')} AS score FROM embeddings q, embeddings e WHERE q.vec_id % 20 = 0),
@@ -151,7 +151,7 @@ PART = "(SELECT p_partkey AS id, *, string_split(p_name, ' ') AS words FROM part
 def filter_query(name: str, rows, relation: str, tree: dict, where: str) -> None:
     def run(spark, sf):
         df = rows(spark, sf)
-        return df.where(Compiler(df.schema).compile(tree)).select("id")
+        return df.where(Compiler(df.schema).where(tree)).select("id")
 
     register(name, f"SELECT id FROM {relation} x WHERE {where}")(run)
 
@@ -301,7 +301,7 @@ def log_as_of_timestamp(spark, sf):
 @register("log_delete_by_filter", f"WITH {LOG} SELECT id, CAST(99999 AS BIGINT) AS seq, 'delete' AS op FROM {last_sql()} WHERE op <> 'delete' AND value >= 20")
 def log_delete_by_filter(spark, sf):
     rows = replay.live(event_log(spark, sf))
-    return replay.deletes_by_filter(rows, Compiler(rows.schema).compile({"op": "range", "field": "value", "gte": 20}), 99999)
+    return replay.deletes_by_filter(rows, Compiler(rows.schema).where({"op": "range", "field": "value", "gte": 20}), 99999)
 
 
 IDS = [42, 7, 999999, 3, 888888]

@@ -131,8 +131,8 @@ def execute(request: dict, snapshot: DataFrame, spec: NamespaceSpec, decision: D
             raise Denied("request on masked fields")
         if request.get("debug") and decision.filter:
             raise Denied("debug under a row policy")
-        rows = rows.where(Compiler(rows.schema, spec.text_fields).compile(decision.filter))
-    keep: Column = Compiler(rows.schema, spec.text_fields).compile(request.get("filter"))
+        rows = rows.where(Compiler(rows.schema, spec.text_fields).where(decision.filter))
+    keep: Column = Compiler(rows.schema, spec.text_fields).where(request.get("filter"))
     shown = rows.where(keep)
     seeds = [s["id"] for s in plan.sources if "id" in s]
     attributes = [c for c in snapshot.columns if c not in ("id", "values")]

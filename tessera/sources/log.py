@@ -91,17 +91,17 @@ def version_at(manifests: DataFrame, when) -> int:
     return found
 
 
-def underfill(requested: int, returned: int, view: str, skipped_log: bool, has_data: bool, filtered: bool, exhausted: bool) -> str | None:
-    """Why a page is short."""
+def underfill(requested: int, returned: int, stale: bool, rows: int, filtered: bool, partial: bool) -> str | None:
+    """Why an answer has fewer rows than asked for: what was not looked at, or that there is no more."""
     if returned >= requested:
         return None
-    if view == "eventual" and skipped_log:
-        return "eventual_skipped_wal"
-    if not has_data:
-        return "no_index_or_wal_data"
-    if filtered and exhausted:
-        return "filter_selective_probe_exhausted"
-    return "not_enough_matches"
+    if stale:
+        return "the eventual view leaves newer rows out"
+    if not rows:
+        return "the namespace is empty"
+    if filtered and partial:
+        return "the filter passes too few rows of the probed clusters"
+    return "there are no more matches"
 
 
 def ranked_window(rows: DataFrame, by: str, score: str = "score", lower: bool = True) -> DataFrame:

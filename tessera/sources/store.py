@@ -2,9 +2,14 @@
 
 A commit writes its batch first and then creates the manifest of the next
 generation; the file system lets one writer create it, so a lost race is seen
-and retried. Every generation stays readable until it is collected. Paths go
-through Hadoop's file systems, so any store that Spark reads will do that
-creates files exclusively.
+and retried. Every generation stays readable until it is collected.
+
+Paths go through Hadoop's file systems. Exclusive creation holds on those of
+``EXCLUSIVE``. On others (object stores whose connector looks first and writes
+then) two writers could both believe that they were first, so namespaces are
+refused there unless the session sets ``spark.tessera.exclusiveCreate`` to true,
+for a connector known to create conditionally; ``Files.probe`` tests what can be
+seen from one writer.
 """
 
 from __future__ import annotations
@@ -30,6 +35,9 @@ ATTEMPTS = 4
 MAX_BATCH = 50_000
 FRAGMENTS, AGE_S, BYTES = 100, 300, 64 << 20
 HISTORY = 128
+#: Files younger than this are never collected: a writer may be about to publish them.
+GRACE_S = 3600.0
+EXCLUSIVE = {"file", "hdfs", "viewfs", "abfs", "abfss"}
 
 
 class Files:
@@ -37,7 +45,7 @@ class Files:
 
     def __init__(self, spark: SparkSession, root: str):
         jvm = spark.sparkContext._jvm
-        self._path = jvm.org.apache.hadoop.fs.Path
+        self._path, self._conf = jvm.org.apache.hadoop.fs.Path, spark.conf
         self.root = root.rstrip("/")
         self._fs = self._path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
@@ -62,10 +70,31 @@ class Files:
         size = self._fs.getFileStatus(path).getLen()
         stream = self._fs.open(path)
         try:
-            return bytes(stream.readNBytes(size)).decode() if hasattr(stream, "readNBytes") else ""
+            return bytes(stream.readNBytes(size)).decode()
         finally:
             stream.close()
 
+    def exclusive(self) -> bool:
+        """True if creation is known to be exclusive here."""
+        return self._fs.getUri().getScheme() in EXCLUSIVE or self._conf.get("spark.tessera.exclusiveCreate", "false").lower() == "true"
+
+    def probe(self) -> dict[str, bool]:
+        """What the store was seen to do: refuse a second creation, give back what was written, list and remove it."""
+        name = f"probe-{uuid.uuid4().hex}"
+        made, again = self.create(name, "one"), self.create(name, "two")
+        seen = {"creates": made, "refuses_second": not again, "reads_back": self.read(name) == "one", "lists": name in self.names("")}
+        self.remove(name)
+        return seen | {"removes": self.read(name) is None, "exclusive": self.exclusive()}
+
+    def age(self, name: str) -> float:
+        """Seconds since a file or folder was last changed."""
+        return time.time() - self._fs.getFileStatus(self._path(f"{self.root}/{name}")).getModificationTime() / 1000
+
+    def size(self, name: str) -> int:
+        """Bytes of a file or of all files in a folder."""
+        path = self._path(f"{self.root}/{name}")
+        return self._fs.getContentSummary(path).getLength() if self._fs.exists(path) else 0
+
     def names(self, folder: str) -> list[str]:
         path = self._path(f"{self.root}/{folder}")
         return sorted(s.getPath().getName() for s in self._fs.listStatus(path)) if self._fs.exists(path) else []
@@ -87,6 +116,8 @@ class Namespace:
     def create(spark: SparkSession, root: str, spec: NamespaceSpec, attributes: T.StructType) -> Namespace:
         """A new namespace, or the existing one if its whole configuration is equal."""
         self = Namespace(spark, root, spec, attributes)
+        if not self.files.exclusive():
+            raise ValidationError("this store may not create files exclusively; see spark.tessera.exclusiveCreate")
         body = json.dumps({"spec": spec.to_dict(), "attributes": attributes.jsonValue()}, sort_keys=True)
         if not self.files.create("spec.json", body) and self.files.read("spec.json") != body:
             raise Conflict(f"{spec.name} exists with another configuration")
@@ -103,9 +134,11 @@ class Namespace:
         return Namespace(spark, root, NamespaceSpec.from_dict(raw["spec"]), T.StructType.fromJson(raw["attributes"]))
 
     def delete(self) -> None:
-        """Mark as deleting, then remove."""
+        """Mark as deleting, then remove. Refused while forks read its files."""
+        if alive := [n for n in self._forks() if self._child(n)]:
+            raise Conflict(f"{self.spec.name} has forks: {alive}")
         self.files.create("deleted", _now())
-        for folder in ("log", "segments", "manifests", "snapshots"):
+        for folder in ("log", "segments", "manifests", "snapshots", "forks"):
             self.files.remove(folder)
         self.files.remove("spec.json")
         self.files.remove("deleted")
@@ -154,11 +187,14 @@ class Namespace:
             raise PointInTimeNotRetained(str(as_of))
         return found
 
-    def _publish(self, change: Callable[[dict], dict]) -> dict:
-        """Create the next manifest from the newest one; retried when another writer was first."""
+    def _publish(self, change: Callable[[dict], dict | None]) -> dict:
+        """Create the next manifest from the newest one; retried when another writer was first. Without a change nothing is published."""
         for _ in range(ATTEMPTS):
             old = self.manifest()
-            new = change(dict(old)) | {"version": old["version"] + 1, "updated_at": _now()}
+            new = change(dict(old))
+            if new is None:
+                return old
+            new = new | {"version": old["version"] + 1, "updated_at": _now()}
             if self.files.create(_name(new["version"]), json.dumps(new)):
                 return new
         raise Conflict(f"{self.spec.name}: too many writers")
@@ -170,8 +206,8 @@ class Namespace:
         rows.write.parquet(f"{self.root}/{self.spec.name}/log/{batch}")
         return self._publish(lambda m: m | {"batches": [*m["batches"], {"batch": batch, "seq": m["version"] + 1, "at": _now()}]})
 
-    def upsert(self, rows: DataFrame) -> dict:
-        """Append rows (id, values, attributes). Ids and vectors are checked in one aggregate before anything is written."""
+    def prepared(self, rows: DataFrame, most: int | None = MAX_BATCH) -> DataFrame:
+        """Checked upserts (id, values, attributes), with the types of the namespace. One aggregate sees ids and vectors before anything is written."""
         from tessera.spec import _ID
 
         seen = rows.agg(
@@ -180,10 +216,37 @@ class Namespace:
             F.count_if(~F.coalesce(finite(F.col("values")), F.lit(False))).alias("finite"),
             F.count_if(~F.coalesce(F.col("id").rlike(f"^{_ID.pattern}$") & (F.length("id") <= 1024), F.lit(False))).alias("id"),
         ).first()
-        if not seen["n"] or seen["n"] > MAX_BATCH or seen["size"] or seen["finite"] or seen["id"]:
+        if (most and not seen["n"]) or (most and seen["n"] > most) or seen["size"] or seen["finite"] or seen["id"]:
             raise ValidationError(f"refused batch: {seen.asDict()}")
-        full = rows.select(*[F.col(f"`{f.name}`").cast(f.dataType) if f.name in rows.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in self.row_schema])
-        return self._append(full.withColumn("op", F.lit("upsert")))
+        return self.typed(rows)
+
+    def typed(self, rows: DataFrame) -> DataFrame:
+        """Rows with the namespace's columns; attributes that they lack are NULL."""
+        return rows.select(*[F.col(f"`{f.name}`").cast(f.dataType) if f.name in rows.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in self.row_schema])
+
+    def upsert(self, rows: DataFrame) -> dict:
+        """Append rows (id, values, attributes)."""
+        return self._append(self.prepared(rows).withColumn("op", F.lit("upsert")))
+
+    def guarded(self, select: Callable[[DataFrame], DataFrame], op: str = "delete") -> dict:
+        """A write that depends on what is there: ``select`` takes the strong snapshot and gives the rows to write.
+
+        It is published only on the generation that it was selected from; when
+        another writer was first, the rows are selected again, at most
+        ``ATTEMPTS`` times.
+        """
+        for _ in range(ATTEMPTS):
+            seen = self.manifest()
+            rows = select(self.snapshot(seen["version"]))
+            rows = self._tombstones(rows.select("id")) if op == "delete" else self.prepared(rows).withColumn("op", F.lit("upsert"))
+            batch = uuid.uuid4().hex
+            rows.write.parquet(f"{self.root}/{self.spec.name}/log/{batch}")
+            version = seen["version"] + 1
+            new = seen | {"batches": [*seen["batches"], {"batch": batch, "seq": version, "at": _now()}], "version": version, "updated_at": _now()}
+            if self.files.create(_name(version), json.dumps(new)):
+                return new
+            self.files.remove(f"log/{batch}")
+        raise Conflict(f"{self.spec.name}: too many writers")
 
     def delete_ids(self, ids: list[str], locks: tuple[Lock, ...] = ()) -> dict:
         check_locks(locks, self.spec.name)
@@ -192,8 +255,7 @@ class Namespace:
     def delete_where(self, tree: dict, locks: tuple[Lock, ...] = ()) -> dict:
         """Tombstones for all rows of the strong snapshot that match."""
         check_locks(locks, self.spec.name)
-        rows = self.snapshot()
-        return self._append(self._tombstones(rows.where(Compiler(rows.schema).compile(tree)).select("id")))
+        return self.guarded(lambda rows: rows.where(Compiler(rows.schema).where(tree)))
 
     def _tombstones(self, ids: DataFrame) -> DataFrame:
         rest = [F.lit(None).cast(f.dataType).alias(f.name) for f in self.row_schema if f.name != "id"]
@@ -224,12 +286,14 @@ class Namespace:
     # maintenance
 
     def compaction_due(self, now: float | None = None) -> bool:
-        """True by number of batches or by age of the oldest."""
+        """True by number of batches, by age of the oldest, or by their bytes."""
         m = self.manifest()
         if not m["batches"]:
             return False
         age = (now or time.time()) - datetime.fromisoformat(m["batches"][0]["at"]).timestamp()
-        return len(m["batches"]) >= FRAGMENTS or age >= AGE_S
+        if len(m["batches"]) >= FRAGMENTS or age >= AGE_S:
+            return True
+        return sum(self.files.size(f"log/{b['batch']}") for b in m["batches"] if b.get("owner", self.spec.name) == self.spec.name) >= BYTES
 
     def compact(self) -> dict:
         """Write the strong snapshot as the new segment and cut the log at the batches read. Rows that are not finite are dropped."""
@@ -262,30 +326,59 @@ class Namespace:
         return other
 
     def fork(self, name: str, as_of=None) -> Namespace:
-        """Child that shares the parent's files up to a generation and has a log of its own."""
-        other = Namespace.create(self.spark, self.root, NamespaceSpec.from_dict(self.spec.to_dict() | {"name": name}), self.attributes)
+        """Child that shares the parent's files up to a generation and has a log of its own.
+
+        Each owner of files that the child reads keeps a record of it, written
+        before the child is published, so that no owner collects them.
+        """
         m = self.resolve(as_of)
         batches = [b | {"owner": b.get("owner", self.spec.name), "seq": i - len(m["batches"])} for i, b in enumerate(m["batches"])]
+        needed = {b["batch"] for b in batches} | ({m["segment"]["segment"]} if m["segment"] else set())
+        for owner in {self.spec.name, *(b["owner"] for b in batches), *([m["segment"]["owner"]] if m["segment"] else [])}:
+            Files(self.spark, f"{self.root}/{owner}").create(f"forks/{name}.json", json.dumps({"files": sorted(needed)}))
+        other = Namespace.create(self.spark, self.root, NamespaceSpec.from_dict(self.spec.to_dict() | {"name": name}), self.attributes)
         other._publish(lambda new: new | {"segment": m["segment"], "batches": batches, "parent": {"name": self.spec.name, "version": m["version"]}})
         return other
 
+    def _forks(self) -> list[str]:
+        return [n[:-5] for n in self.files.names("forks") if n.endswith(".json")]
+
+    def _child(self, name: str) -> Namespace | None:
+        try:
+            return Namespace.open(self.spark, self.root, name)
+        except NotFound:
+            return None
+
     def status(self) -> dict:
         m = self.manifest()
         return {"version": m["version"], "uncompacted": len(m["batches"]), "ready": not m["batches"], "segment": m["segment"]}
 
-    def collect(self, children: tuple[Namespace, ...] = (), keep: int = HISTORY) -> list[str]:
-        """Remove manifests beyond the history, and batches and segments that no kept manifest of it or its forks names."""
+    def collect(self, children: tuple[Namespace, ...] = (), keep: int = HISTORY, grace: float = GRACE_S) -> list[str]:
+        """Remove manifests beyond the history, and batches and segments that no kept manifest of it, its forks or other ``children`` names.
+
+        Files younger than ``grace`` seconds stay: a writer may have written
+        them and not published yet. So do the files of a fork being made.
+        """
         pinned = set(self.list_snapshots().values())
         have = self.versions()
         for v in have[:-keep]:
             if v not in pinned:
                 self.files.remove(_name(v))
-        used = set()
-        for ns in (self, *children):
+        used, readers = set(), [self, *children]
+        for name in self._forks():
+            record = f"forks/{name}.json"
+            child = self._child(name)
+            if child:
+                readers.append(child)
+            if self.files.age(record) < grace or child and child.manifest()["version"] == 0:
+                used |= set(json.loads(self.files.read(record))["files"])
+            elif not child:
+                self.files.remove(record)
+        for ns in readers:
             for v in ns.versions():
                 m = ns.manifest(v)
                 used |= {b["batch"] for b in m["batches"]} | ({m["segment"]["segment"]} if m["segment"] else set())
-        gone = [f"{folder}/{n}" for folder in ("log", "segments") for n in self.files.names(folder) if n not in used]
+        gone = [f"{folder}/{n}" for folder in ("log", "segments") for n in self.files.names(folder) if n not in used and self.files.age(f"{folder}/{n}") >= grace]
         for name in gone:
             self.files.remove(name)
         return gone

@@ -50,7 +50,7 @@ def content_hash(*fields: str) -> Column:
 
 def with_server_ids(rows: DataFrame) -> DataFrame:
     """Rows with ids of the engine's own making, for writers whose scope is imposed on them."""
-    return rows.withColumn("id", F.concat(F.lit("zv1_"), F.replace(F.uuid(), F.lit("-"), F.lit(""))))
+    return rows.withColumn("id", F.concat(F.lit("row_"), F.replace(F.uuid(), F.lit("-"), F.lit(""))))
 
 
 def units(rows: DataFrame) -> DataFrame:

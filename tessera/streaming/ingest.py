@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
+import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -15,22 +17,30 @@ from tessera.sources.store import Namespace
 def ingest(stream: DataFrame, namespace: Namespace, checkpoint: str, compact: bool = True) -> StreamingQuery:
     """Start a query that commits each micro-batch (id, op, values, attributes).
 
-    The number of a micro-batch is stored in the manifest that commits it, so a
-    batch that Spark delivers again is recognised and skipped. When the log is
-    long or old enough it is compacted after the commit.
+    The manifest that commits a micro-batch names the query and its number, so a
+    batch that Spark delivers again is recognised and skipped. The query's id is
+    kept in its checkpoint: another query, or the same one with a new checkpoint,
+    has numbers of its own. Upserts are checked like any other; a bad one fails
+    the query. When the log is long, old or large enough it is compacted after
+    the commit.
     """
 
     def commit(rows: DataFrame, number: int) -> None:
-        if namespace.manifest().get("stream_batch", -1) >= number or rows.isEmpty():
+        query = rows.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId") or hashlib.sha256(checkpoint.encode()).hexdigest()[:32]
+        if namespace.manifest().get("streams", {}).get(query, -1) >= number or rows.isEmpty():
             return
-        rows = replay.latest(rows.withColumn("seq", F.lit(0).cast("long"))) if "seq" not in rows.columns else replay.latest(rows)
-        full = rows.select(*[F.col(f"`{f.name}`").cast(f.dataType) if f.name in rows.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in namespace.row_schema], "op")
-        batch = f"stream-{number:012d}"
-        full.write.mode("overwrite").parquet(f"{namespace.root}/{namespace.spec.name}/log/{batch}")
-
-        def change(m: dict) -> dict:
+        rows = replay.latest(rows.withColumn("seq", F.lit(0).cast("long")) if "seq" not in rows.columns else rows)
+        deleted = F.col("op") == "delete"
+        full = namespace.prepared(rows.where(~deleted), None).withColumn("op", F.lit("upsert")).unionByName(namespace._tombstones(rows.where(deleted).select("id")))
+        batch = f"stream-{query}-{number:012d}-{uuid.uuid4().hex[:8]}"
+        full.write.parquet(f"{namespace.root}/{namespace.spec.name}/log/{batch}")
+
+        def change(m: dict) -> dict | None:
+            streams = m.get("streams", {})
+            if streams.get(query, -1) >= number:  # another run of the query was first
+                return None
             entry = {"batch": batch, "seq": m["version"] + 1, "at": m["updated_at"]}
-            return m | {"batches": [*m["batches"], entry], "stream_batch": number}
+            return m | {"batches": [*m["batches"], entry], "streams": streams | {query: number}}
 
         namespace._publish(change)
         if compact and namespace.compaction_due():
@@ -42,4 +52,4 @@ def ingest(stream: DataFrame, namespace: Namespace, checkpoint: str, compact: bo
 def describe(namespace: Namespace) -> str:
     """State of the ingest as JSON."""
     m = namespace.manifest()
-    return json.dumps({"version": m["version"], "stream_batch": m.get("stream_batch"), "batches": len(m["batches"])})
+    return json.dumps({"version": m["version"], "streams": m.get("streams", {}), "batches": len(m["batches"])})

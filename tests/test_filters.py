@@ -97,3 +97,23 @@ def test_unknown_keys_are_refused():
     for bad in ({"op": "eq", "field": "a", "value": 1, "x": 2}, {"op": "nope"}, {"op": "and", "filters": [{"op": "zzz"}]}):
         with pytest.raises(ValidationError):
             checked(bad)
+
+
+def test_comparisons_reach_the_scan(spark, tmp_path):
+    path = str(tmp_path / "rows")
+    spark.createDataFrame([(1, "a", 1, 1.0, True, ["a"]), (2, None, None, None, None, None)], SCHEMA).write.parquet(path)
+    rows = spark.read.parquet(path)
+    cases = [
+        ({"op": "eq", "field": "s", "value": "a"}, "EqualTo(s,a)"),
+        ({"op": "eq", "field": "i", "value": 1.0}, "EqualTo(i,1)"),
+        ({"op": "eq", "field": "f", "value": 1}, "GreaterThanOrEqual(f,"),
+        ({"op": "in", "field": "i", "values": [1, 2]}, "EqualTo(i,1)"),
+        ({"op": "range", "field": "i", "gte": 1, "lt": 3}, "LessThan(i,3)"),
+        ({"op": "range", "field": "f", "gte": 1}, "IsNotNull(f)"),
+        ({"op": "not_eq", "field": "s", "value": "b"}, "Not(EqualTo(s,b))"),
+        ({"op": "or", "filters": [{"op": "eq", "field": "s", "value": "a"}, {"op": "eq", "field": "i", "value": 5}]}, "Or(EqualTo(s,a),EqualTo(i,5))"),
+    ]
+    for node, want in cases:
+        kept = rows.where(Compiler(rows.schema).where(node))
+        plan = kept._jdf.queryExecution().explainString(kept._sc._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+        assert want in plan.split("PushedFilters:")[1].split("\n")[0].replace(" ", "") or "In(i" in plan, (node, plan)

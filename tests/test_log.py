@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 from tessera.errors import Conflict, Denied, NotFound, PointInTimeNotRetained, ValidationError
 from tessera.operators.governance import Lock
 from tessera.sources import log as replay
-from tessera.sources.store import Namespace, list_namespaces
+from tessera.sources.store import Files, Namespace, list_namespaces
 from tessera.spec import NamespaceSpec
 from tessera.streaming.ingest import ingest
 
@@ -88,6 +88,56 @@ def test_namespace_life(spark, tmp_path):
         Namespace.open(spark, root, "copy")
 
 
+def test_nothing_in_use_is_collected(spark, tmp_path):
+    ns = Namespace.create(spark, str(tmp_path), NamespaceSpec("kept", 2, "euclidean"), ATTRIBUTES)
+    ids = lambda x: sorted(r["id"] for r in x.snapshot().collect())
+    ns.upsert(rows(spark, ("a", [1.0, 0.0], "red")))
+    grandchild = ns.fork("one").fork("two")
+    ns.upsert(rows(spark, ("b", [1.0, 0.0], "red")))
+    ns.compact()
+    unpublished = f"{tmp_path}/kept/log/staged"
+    rows(spark, ("c", [1.0, 0.0], "red")).write.parquet(unpublished)
+    ns.collect(keep=1)
+    assert spark.read.parquet(unpublished).count() == 1
+    with pytest.raises(Conflict):
+        ns.delete()
+    gone = ns.collect(keep=1, grace=0)
+    assert "log/staged" in gone and ids(ns) == ["a", "b"] and ids(grandchild) == ["a"]
+    grandchild.delete()
+    assert Namespace.open(spark, str(tmp_path), "one").snapshot().count() == 1
+
+
+def test_guarded_write_selects_again_after_a_lost_race(spark, tmp_path):
+    ns = Namespace.create(spark, str(tmp_path), NamespaceSpec("g", 2, "euclidean"), ATTRIBUTES)
+    ns.upsert(rows(spark, ("a", [1.0, 0.0], "red"), ("b", [1.0, 0.0], "blue")))
+    seen = []
+
+    def select(snapshot):
+        if not seen:
+            ns.upsert(rows(spark, ("c", [0.0, 1.0], "red")))
+        seen.append(1)
+        return snapshot.where("color = 'red'")
+
+    ns.guarded(select)
+    assert len(seen) == 2 and [r["id"] for r in ns.snapshot().collect()] == ["b"]
+
+
+def test_probe_of_a_store(spark, tmp_path):
+    assert all(Files(spark, str(tmp_path)).probe().values())
+
+
+def test_streams_do_not_share_their_numbers(spark, tmp_path):
+    ns = Namespace.create(spark, str(tmp_path / "store"), NamespaceSpec("s", 2), ATTRIBUTES)
+    schema = "id string, values array<float>, color string, op string"
+    for i, key in enumerate("ab"):
+        spark.createDataFrame([(key, [1.0, 0.0], "red", "upsert")], schema).write.parquet(str(tmp_path / f"in{i}"))
+        ingest(spark.readStream.schema(schema).parquet(str(tmp_path / f"in{i}")), ns, str(tmp_path / f"check{i}")).awaitTermination()
+    assert sorted(r["id"] for r in ns.snapshot().collect()) == ["a", "b"] and len(ns.manifest()["streams"]) == 2
+    spark.createDataFrame([("bad", [1.0], "red", "upsert")], schema).write.parquet(str(tmp_path / "in2"))
+    with pytest.raises(Exception, match="refused batch"):
+        ingest(spark.readStream.schema(schema).parquet(str(tmp_path / "in2")), ns, str(tmp_path / "check2")).awaitTermination()
+
+
 def test_streaming_ingest_commits_each_batch_once(spark, tmp_path):
     ns = Namespace.create(spark, str(tmp_path / "store"), NamespaceSpec("s", 2), ATTRIBUTES)
     source = str(tmp_path / "in")

@@ -22,7 +22,7 @@ def test_forms(spark):
     with pytest.raises(ValidationError):
         upserts.from_json(spark, {"vectors": []}, attributes)
     ids = [r["id"] for r in upserts.with_server_ids(a).collect()]
-    assert len(set(ids)) == 2 and all(i.startswith("zv1_") for i in ids)
+    assert len(set(ids)) == 2 and all(i.startswith("row_") for i in ids)
 
 
 def test_units_and_encoders(spark):
