@@ -25,6 +25,19 @@ def value_key(col: Column, kind: T.DataType) -> Column:
     return F.concat(F.lit(tag), col.cast("string"))
 
 
+def key_of(value, kind: T.DataType) -> str | None:
+    """Key of a filter's value in a field of some type; None where no row can equal it."""
+    if isinstance(kind, T.ArrayType):
+        return key_of(value, kind.elementType) if isinstance(value, bool) == isinstance(kind.elementType, T.BooleanType) else None
+    if isinstance(kind, T.BooleanType):
+        return f"b:{str(value).lower()}" if isinstance(value, bool) else None
+    if isinstance(value, bool):
+        return None
+    if isinstance(kind, T.StringType):
+        return f"s:{value}" if isinstance(value, str) else None
+    return f"i:{int(value)}" if isinstance(value, (int, float)) and value == int(value) else None
+
+
 def exploded(rows: DataFrame, fields: Sequence[str], keep: Sequence[str]) -> DataFrame:
     """(keep..., field, key): a row for each value of each field, list elements one by one, missing values left out."""
     parts = []
@@ -71,22 +84,3 @@ def union_count(bitmaps: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """Rows that any of some bitmaps holds, by ``keep``."""
     joined = bitmaps.groupBy(*keep, "bucket").agg(F.bitmap_or_agg("bits").alias("bits"))
     return joined.groupBy(*keep).agg(F.sum(F.bitmap_count("bits")).alias("rows"))
-
-
-def answerable(node: dict, indexed: set[str]) -> bool:
-    """True if bitmaps alone answer a filter."""
-    op = node["op"]
-    if op in ("and", "or"):
-        return all(answerable(c, indexed) for c in node["filters"])
-    if op == "not":
-        return answerable(node["filter"], indexed)
-    return op in ("eq", "not_eq", "range", "in", "not_in", "contains") and node["field"] in indexed
-
-
-def mode(node: dict | None, indexed: set[str]) -> str:
-    """How an index would answer a filter: none, bitmap, mixed or attributes."""
-    if not node:
-        return "none"
-    if answerable(node, indexed):
-        return "bitmap"
-    return "mixed" if node["op"] == "and" and any(answerable(c, indexed) for c in node["filters"]) else "attributes"

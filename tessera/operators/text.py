@@ -9,6 +9,7 @@ stemming the analyzer is made of built-in functions alone.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -83,14 +84,17 @@ def bm25(
     config: TextField = TextField(stemming=False),  # noqa: B008
     last_as_prefix: bool = False,
     length_mode: str = "document",
+    merge_prefix: bool = False,
 ) -> DataFrame:
     """(id, score) of the rows that match, over the statistics of all of ``docs``.
 
     Only rows with a query term leave the scan: terms are matched inside each
     row, so the shuffle carries the few matching (term, id) pairs. A term asked
     twice counts twice. With ``last_as_prefix`` all terms that begin with the
-    last word count, each by its own rarity. ``length_mode`` "zero" leaves out
-    document lengths.
+    last word count, each by its own rarity; with ``merge_prefix``, the rule of an
+    unindexed log, they count as one word, as often as all of them together and
+    as rare as the most frequent. ``length_mode`` "zero" leaves out document
+    lengths.
     """
     wanted = query_tokens(query, config, last_as_prefix)
     spark = docs.sparkSession
@@ -114,7 +118,15 @@ def bm25(
         times = F.when(F.col("term") == w, times + exact.count(w)).otherwise(times)
     if prefix:
         times = times + F.when(F.col("term").startswith(prefix), 1).otherwise(0)
-    scored = hits.join(rarity, "term").join(F.broadcast(corpus))
+    hits = hits.join(rarity, "term")
+    if prefix and merge_prefix:
+        begun = hits.where(F.col("term").startswith(prefix))
+        most = begun.agg(F.max("df").alias("df"))
+        one = begun.groupBy("id").agg(F.sum("tf").alias("tf"), F.first("dl").alias("dl")).join(F.broadcast(most))
+        hits = hits.where(F.col("term").isin(exact) if exact else F.lit(False)).select("id", "tf", "dl", "df", "term")
+        hits = hits.unionByName(one.select("id", "tf", "dl", "df", F.lit(None).cast("string").alias("term")))
+        times = F.when(F.col("term").isNull(), 1).otherwise(sum((F.when(F.col("term") == w, exact.count(w)).otherwise(0) for w in dict.fromkeys(exact)), F.lit(0)))
+    scored = hits.join(F.broadcast(corpus))
     dl = F.lit(0) if length_mode == "zero" else F.col("dl")
     score = times * term_score(idf(F.col("n"), F.col("df")), F.col("tf"), dl, F.col("avgdl"), config)
     return scored.groupBy("id").agg(F.sum(score).alias("score"))
@@ -160,20 +172,20 @@ class RankBy:
 
 def ranked(docs: DataFrame, key: str, rank_by: list, text_fields: dict[str, TextField], last_as_prefix: bool = False) -> DataFrame:
     """(id, score) by a rank expression; only positive scores. Queries on one field add up."""
+    return ranked_by(rank_by, text_fields, lambda field, query: bm25(docs, key, field, query, text_fields[field], last_as_prefix))
+
+
+def ranked_by(rank_by: list, text_fields: dict[str, TextField], scores_of: Callable[[str, str], DataFrame]) -> DataFrame:
+    """The same, with the scores (id, score) of each field and query from a function."""
     tree = RankBy(rank_by)
-    by_field: dict[str, list[DataFrame]] = {}
+    parts = []
     for field, query in tree.leaves:
         if field not in text_fields:
             raise FieldNotConfigured(field)
-        by_field.setdefault(field, []).append(bm25(docs, key, field, query, text_fields[field], last_as_prefix))
-    parts = []
-    for field, found in by_field.items():
-        scores = found[0]
-        for other in found[1:]:
-            scores = scores.unionByName(other)
-        parts.append(scores.select("id", F.lit(field).alias("field"), "score"))
+        parts.append(scores_of(field, query).select("id", F.lit(field).alias("field"), "score"))
     both = parts[0]
     for part in parts[1:]:
         both = both.unionByName(part)
-    wide = both.groupBy("id").agg(*[F.sum(F.when(F.col("field") == f, F.col("score"))).alias(f"s:{f}") for f in by_field])
+    names = dict.fromkeys(field for field, _ in tree.leaves)
+    wide = both.groupBy("id").agg(*[F.sum(F.when(F.col("field") == f, F.col("score"))).alias(f"s:{f}") for f in names])
     return wide.select("id", tree.column().alias("score")).where("score > 0")

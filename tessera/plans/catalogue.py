@@ -15,13 +15,15 @@ from pyspark.sql import functions as F
 from tessera.operators import algebra, ann, bitmap, governance, late, quant, text
 from tessera.operators.filters import Compiler
 from tessera.plans import request as requests
-from tessera.plans import sizing
+from tessera.plans import sizing, stored
+from tessera.sources import index
 from tessera.sources import log as replay
 from tessera.spec import NamespaceSpec, TextField
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 PLAIN = TextField(stemming=False)
+FIELDS = {"text": PLAIN, "source": PLAIN}
 SEED = 7
 
 
@@ -336,18 +338,22 @@ def tokenize_terms(spark, sf):
 
 @register("inverted_postings", f"WITH {TOK}, p AS (SELECT term, id, count(*) AS tf FROM (SELECT id, unnest(t) AS term FROM tok) GROUP BY term, id) SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf, max(tf) AS max_tf FROM p GROUP BY term")
 def inverted_postings(spark, sf):
-    p = text.postings(read(spark, sf, "documents"), "doc_id", "text", PLAIN)
+    p = spark.read.parquet(f"{stored.text_index(spark, sf, FIELDS)}/postings").where("field = 'text'")
     return p.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"), F.max("tf").alias("max_tf"))
 
 
 @register("bm25_idf", f"WITH {TOK}, n AS (SELECT count(*) AS n FROM tok WHERE len(t) > 0) SELECT term, count(DISTINCT id) AS df, {R('ln((n - count(DISTINCT id) + 0.5) / (count(DISTINCT id) + 0.5) + 1)')} AS idf FROM (SELECT id, unnest(t) AS term FROM tok), n GROUP BY term, n")
 def bm25_idf(spark, sf):
-    docs = read(spark, sf, "documents")
-    df = text.postings(docs, "doc_id", "text", PLAIN).groupBy("term").agg(F.count("*").alias("df"))
-    stats = text.statistics(docs, "doc_id", "text", PLAIN)
+    path = stored.text_index(spark, sf, FIELDS)
+    df = spark.read.parquet(f"{path}/terms").where("field = 'text'")
+    stats = spark.read.parquet(f"{path}/lengths").where("field = 'text'").select("n")
     return rounded(df.join(F.broadcast(stats)).select("term", "df", text.idf(F.col("n"), F.col("df")).alias("idf")), "idf")
 
 
+def ranked(spark, sf, rank_by: list) -> DataFrame:
+    return rounded(ann.ordered(index.ranked(spark, stored.text_index(spark, sf, FIELDS), rank_by, FIELDS), 20, True), "score")
+
+
 def bm25_sql(field: str, query: list[str], prefix: str | None = None, relation: str = "documents", key: str = "doc_id") -> str:
     """Relation (id, score) of one BM25 leaf."""
     words = TOKENS_SQL.format(field)
@@ -364,32 +370,46 @@ def best_sql(relation: str, k: int = 20, score: str = "score") -> str:
 
 @register("bm25_single_field", best_sql(bm25_sql("text", ["from", "avec", "from"])))
 def bm25_single(spark, sf):
-    return rounded(ann.ordered(text.bm25(read(spark, sf, "documents"), "doc_id", "text", "from the avec from"), 20, True), "score")
+    return rounded(ann.ordered(index.bm25(spark, stored.text_index(spark, sf, FIELDS), "text", "from the avec from", PLAIN), 20, True), "score")
 
 
-FIELDS = {"text": PLAIN, "source": PLAIN}
 TWO = f"(SELECT coalesce(a.id, b.id) AS id, coalesce(a.score, 0) AS a, coalesce(b.score, 0) AS b FROM {bm25_sql('text', ['avec'])} a FULL JOIN {bm25_sql('source', ['src3'])} b ON a.id = b.id)"
 
 
 @register("bm25_sum", best_sql(TWO, score="a + b"))
 def bm25_sum(spark, sf):
-    return rounded(ann.ordered(text.ranked(read(spark, sf, "documents"), "doc_id", ["Sum", [["text", "BM25", "avec"], ["source", "BM25", "src3"]]], FIELDS), 20, True), "score")
+    return ranked(spark, sf, ["Sum", [["text", "BM25", "avec"], ["source", "BM25", "src3"]]])
 
 
 @register("bm25_max", best_sql(TWO, score="greatest(0, a, b)"))
 def bm25_max(spark, sf):
-    return rounded(ann.ordered(text.ranked(read(spark, sf, "documents"), "doc_id", ["Max", [["text", "BM25", "avec"], ["source", "BM25", "src3"]]], FIELDS), 20, True), "score")
+    return ranked(spark, sf, ["Max", [["text", "BM25", "avec"], ["source", "BM25", "src3"]]])
 
 
 @register("bm25_product", best_sql(TWO, score="2.5 * (a + 0.5 * b)"))
 def bm25_product(spark, sf):
-    rank = ["Product", 2.5, ["Sum", [["text", "BM25", "avec"], ["Product", 0.5, ["source", "BM25", "src3"]]]]]
-    return rounded(ann.ordered(text.ranked(read(spark, sf, "documents"), "doc_id", rank, FIELDS), 20, True), "score")
+    return ranked(spark, sf, ["Product", 2.5, ["Sum", [["text", "BM25", "avec"], ["Product", 0.5, ["source", "BM25", "src3"]]]]])
 
 
 @register("bm25_prefix", best_sql(bm25_sql("text", ["from"], "enver")))
 def bm25_prefix(spark, sf):
-    return rounded(ann.ordered(text.bm25(read(spark, sf, "documents"), "doc_id", "text", "from enver", PLAIN, last_as_prefix=True), 20, True), "score")
+    return rounded(ann.ordered(index.bm25(spark, stored.text_index(spark, sf, FIELDS), "text", "from enver", PLAIN, last_as_prefix=True), 20, True), "score")
+
+
+def merged_prefix_sql(field: str, word: str, prefix: str) -> str:
+    """Relation (id, score) of a word and a prefix whose terms count as one."""
+    return f"""(WITH t AS (SELECT doc_id AS id, {TOKENS_SQL.format(field)} AS t FROM documents), s AS (SELECT count(*) AS n, avg(len(t)) AS avgdl FROM t WHERE len(t) > 0),
+ h AS (SELECT id, term, dl, count(*) AS tf FROM (SELECT id, unnest(t) AS term, len(t) AS dl FROM t) WHERE term = '{word}' OR starts_with(term, '{prefix}') GROUP BY id, term, dl),
+ d AS (SELECT term, count(*) AS df FROM h GROUP BY term),
+ m AS (SELECT id, dl, sum(tf) AS tf, (SELECT max(df) FROM d WHERE starts_with(term, '{prefix}')) AS df FROM h WHERE starts_with(term, '{prefix}') GROUP BY id, dl
+  UNION ALL SELECT id, dl, tf, df FROM h JOIN d USING (term) WHERE term = '{word}')
+ SELECT id, sum(ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * dl / avgdl))) AS score FROM m, s GROUP BY id)"""
+
+
+@register("bm25_prefix_log", best_sql(merged_prefix_sql("text", "from", "enver")))
+def bm25_prefix_log(spark, sf):
+    found = text.bm25(read(spark, sf, "documents"), "doc_id", "text", "from enver", PLAIN, last_as_prefix=True, merge_prefix=True)
+    return rounded(ann.ordered(found, 20, True), "score")
 
 
 @register("bm25_policy_scoped", best_sql(f"(SELECT * FROM {bm25_sql('text', ['avec', 'dans'], relation='(SELECT * FROM documents WHERE lang = ' + chr(39) + 'fr' + chr(39) + ')')} y WHERE id % 2 = 0)"))
@@ -412,7 +432,13 @@ def hybrid(spark, sf):
 
 
 def ask(spark, sf, **request) -> requests.Result:
-    return requests.execute(request, hybrid(spark, sf), SPEC)
+    """Answer over the stored namespace, every cluster probed; ids as the tables have them."""
+    namespace = stored.hybrid(spark, sf, SPEC, lambda: hybrid(spark, sf))
+    got = requests.answer({"nprobe": 4096} | request, namespace)
+    for name in ("results", "groups", "contributions"):
+        if (frame := getattr(got, name)) is not None:
+            setattr(got, name, frame.withColumn("id", F.col("id").cast("long")))
+    return got
 
 
 def sources(spark, sf) -> list[dict]:
@@ -435,7 +461,7 @@ def fusion_rrf(spark, sf):
 
 @register("explain_contributions", f"{RRF}, r AS (SELECT id, score FROM f ORDER BY score DESC, CAST(id AS VARCHAR) LIMIT 10) SELECT c.id, CAST(source AS INTEGER) AS source, {R('raw')} AS raw, {R('contribution')} AS contribution, {R('r.score')} AS fused_score FROM c JOIN r ON c.id = r.id")
 def explain(spark, sf):
-    got = ask(spark, sf, sources=sources(spark, sf), top_k=10, include_attributes=False)
+    got = ask(spark, sf, sources=sources(spark, sf), top_k=10, include_attributes=False, explain="full")
     return rounded(algebra.explained(got.contributions, got.results).drop("normalized"), "raw", "contribution", "fused_score")
 
 
@@ -666,5 +692,54 @@ def fde_late(spark, sf):
 
 @register("stemmed_bm25")
 def stemmed_bm25(spark, sf):
-    return rounded(ann.ordered(text.bm25(read(spark, sf, "documents"), "doc_id", "text", "having there from", TextField()), 20, True), "score")
+    path = stored.text_index(spark, sf, {"text": TextField()})
+    return rounded(ann.ordered(index.bm25(spark, path, "text", "having there from", TextField()), 20, True), "score")
+
+
+# stored index
+
+
+def nearest(spark, sf, changed: bool = False, **request) -> DataFrame:
+    got = requests.answer({"vector": vector(spark, sf), "include_attributes": False, "nprobe": 16} | request, stored.vectors(spark, sf, changed)).results
+    return rounded(got.withColumn("id", F.col("id").cast("long")), "score")
+
+
+@register("index_full_probe_topk", topk_sql(COS("embedding", "e")))
+def index_full_probe(spark, sf):
+    return nearest(spark, sf)
+
+
+@register("index_filtered_topk", topk_sql(COS("embedding", "e"), where="label IN (3, 4)"))
+def index_filtered(spark, sf):
+    return nearest(spark, sf, filter={"op": "in", "field": "label", "values": [3, 4]})
+
+
+CHANGED = f"""WITH {Q}, now AS (SELECT vec_id, CASE WHEN vec_id % 10 = 1 THEN list_transform(embedding, lambda x: -x) ELSE embedding END AS embedding,
+ CASE WHEN vec_id % 10 = 1 THEN 99 ELSE label END AS label FROM embeddings WHERE vec_id % 10 <> 0)"""
+
+
+@register("index_log_overlay_topk", f"{CHANGED} SELECT id, {R('raw')} AS score FROM (SELECT vec_id AS id, {COS('embedding', 'e')} AS raw FROM now, q) ORDER BY raw, CAST(id AS VARCHAR) LIMIT 10")
+def index_log_overlay(spark, sf):
+    return nearest(spark, sf, changed=True)
+
+
+@register("index_log_overlay_filtered", f"{CHANGED} SELECT id, {R('raw')} AS score FROM (SELECT vec_id AS id, {COS('embedding', 'e')} AS raw FROM now, q WHERE label = 99) ORDER BY raw, CAST(id AS VARCHAR) LIMIT 10")
+def index_log_overlay_filtered(spark, sf):
+    return nearest(spark, sf, changed=True, filter={"op": "eq", "field": "label", "value": 99})
+
+
+@register("index_as_of_topk", topk_sql(COS("embedding", "e")))
+def index_as_of(spark, sf):
+    return nearest(spark, sf, changed=True, as_of=1)
+
 
+@register("index_bitmap_count", "SELECT CAST(count(*) FILTER (label IN (1, 2)) AS BIGINT) AS either, CAST(count(*) FILTER (label = 1 AND label = 2) AS BIGINT) AS both FROM embeddings")
+def index_bitmap_count(spark, sf):
+    namespace = stored.vectors(spark, sf)
+    m = namespace.manifest()
+    one, two = ({"op": "eq", "field": "label", "value": v} for v in (1, 2))
+    counts = [
+        index.counted(spark, namespace.folder(m), {"op": op, "filters": [one, two]}, m["segment"]["index"], namespace.row_schema).agg(F.coalesce(F.sum("rows"), F.lit(0).cast("long")).alias(name))
+        for op, name in (("or", "either"), ("and", "both"))
+    ]
+    return counts[0].join(F.broadcast(counts[1]))

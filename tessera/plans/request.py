@@ -19,6 +19,9 @@ from tessera.operators.distance import check_dimensions
 from tessera.operators.filters import Compiler, checked, fields, refuse_masked
 from tessera.operators.governance import Decision
 from tessera.operators.text import RankBy, ranked
+from tessera.sources import index
+from tessera.sources.log import underfill
+from tessera.sources.store import Namespace
 from tessera.spec import NamespaceSpec
 
 KEYS = {
@@ -26,6 +29,9 @@ KEYS = {
     "include_attributes", "projection", "explain", "debug", "nprobe", "as_of",
 }
 MAX_TOP_K = 10_000
+MAX_CANDIDATES = 4 * MAX_TOP_K
+#: Keys that only a namespace can serve; a bare snapshot refuses them.
+OF_NAMESPACE = {"as_of", "nprobe"}
 MAX_BATCH = 256
 
 
@@ -39,7 +45,8 @@ class Result:
     groups: DataFrame | None = None
     contributions: DataFrame | None = None
     next_cursor: str | None = None
-    plan: dict[str, Any] = field(default_factory=dict)
+    plan: dict[str, Any] | None = None
+    debug: dict[str, Any] = field(default_factory=dict)
 
 
 class Plan:
@@ -66,8 +73,12 @@ class Plan:
         for s in self.sources:
             self._source(s)
         self.candidate_k = request.get("candidate_k", algebra.default_candidates(self.top_k))
-        if self.candidate_k < self.top_k:
-            raise ValidationError("candidate_k is below top_k")
+        if not self.top_k <= self.candidate_k <= MAX_CANDIDATES:
+            raise ValidationError("candidate_k out of range")
+        if request.get("explain") not in (None, False, "plan", "full"):
+            raise ValidationError("explain is plan or full")
+        if not isinstance(request.get("nprobe", 1), int) or request.get("nprobe", 1) < 1:
+            raise ValidationError("nprobe out of range")
         if request.get("filter"):
             checked(request["filter"])
         if request.get("consistency", "strong") not in ("strong", "eventual"):
@@ -121,9 +132,33 @@ class Plan:
         }
 
 
-def execute(request: dict, snapshot: DataFrame, spec: NamespaceSpec, decision: Decision | None = None, cursors: algebra.Cursors | None = None, policy: int = 0, defaults: dict | None = None) -> Result:
-    """Answer a request over a snapshot (id, values, attributes)."""
+def answer(request: dict, namespace: Namespace, decision: Decision | None = None, **options) -> Result:
+    """Answer a request over a namespace, at its ``as_of`` and in its ``consistency``.
+
+    Sources go through the index where there is one: clusters for vectors, stored
+    postings for words. Under a row policy neither is used, since both were made
+    of rows that the caller must not see.
+    """
+    manifest = namespace.resolve(request.get("as_of"))
+    snapshot = namespace.snapshot(manifest["version"], request.get("consistency", "strong"))
+    return execute(request, snapshot, namespace.spec, decision, held=(namespace, manifest), **options)
+
+
+def execute(
+    request: dict,
+    snapshot: DataFrame,
+    spec: NamespaceSpec,
+    decision: Decision | None = None,
+    cursors: algebra.Cursors | None = None,
+    policy: int = 0,
+    defaults: dict | None = None,
+    held: tuple[Namespace, dict] | None = None,
+) -> Result:
+    """Answer a request over a snapshot (id, values, attributes); ``held`` is the namespace and the manifest that it is of."""
     plan = Plan(request, spec, defaults)
+    if not held and (unserved := OF_NAMESPACE & set(request)):
+        raise ValidationError(f"only a namespace serves {sorted(unserved)}")
+    namespace, manifest = held if held and not (decision and decision.filter) else (None, None)
     rows = snapshot
     if decision:
         refuse_masked(request.get("filter"), set(decision.mask))
@@ -141,11 +176,17 @@ def execute(request: dict, snapshot: DataFrame, spec: NamespaceSpec, decision: D
     for s in plan.sources:
         if s["type"] == "ann":
             vector = s["vector"] if "vector" in s else ann.seed_vector(rows, s["id"])
+            if namespace:
+                found.append((namespace.nearest(vector, width, manifest["version"], request.get("consistency", "strong"), request.get("nprobe"), request.get("filter"), seeds), True))
+                continue
             pool = shown.where(~F.col("id").isin(seeds)) if seeds else shown
             found.append((ann.exact(pool, vector, spec.metric, width), True))
         else:
             # statistics over all visible rows; the caller's filter only gates what comes out
-            scored = ranked(rows, "id", s["rank_by"], spec.text_fields, s.get("last_as_prefix", False))
+            if namespace and namespace.has_text(manifest, {f for f, _ in RankBy(s["rank_by"]).leaves}):
+                scored = index.ranked(rows.sparkSession, namespace.folder(manifest), s["rank_by"], spec.text_fields, s.get("last_as_prefix", False))
+            else:
+                scored = ranked(rows, "id", s["rank_by"], spec.text_fields, s.get("last_as_prefix", False))
             scored = scored.join(shown.select("id"), "id", "left_semi") if request.get("filter") else scored
             scored = scored.where(~F.col("id").isin(seeds)) if seeds else scored
             found.append((ann.ordered(scored, width, descending=True), False))
@@ -158,7 +199,10 @@ def execute(request: dict, snapshot: DataFrame, spec: NamespaceSpec, decision: D
         frontier = algebra.fused(contributions, plan.first_k)
     else:
         frontier = ann.ordered(found[0][0], plan.first_k, descending=not plan.lower)
-    out = Result(frontier, plan.lower, contributions=contributions, plan=plan.describe())
+    out = Result(frontier, plan.lower)
+    if request.get("explain"):
+        out.plan = plan.describe() | {"version": manifest["version"] if manifest else None, "index": manifest["segment"] and manifest["segment"]["index"] if manifest else None}
+        out.contributions = contributions if request["explain"] == "full" else None
     held = rows.join(F.broadcast(frontier), "id")
     if request.get("facets"):
         out.facets = algebra.facets(held, request["facets"])
@@ -190,16 +234,31 @@ def execute(request: dict, snapshot: DataFrame, spec: NamespaceSpec, decision: D
     names = [a for a in attributes if not (decision and a in decision.mask)]
     if include:
         best = F.col("score").asc() if lower else F.col("score").desc()
-        held = rows.select("id", *names).join(F.broadcast(frontier), "id")
-        out.results = algebra.projected(held, names, include).orderBy(best, F.col("id").cast("string"))
+        shown = rows.select("id", *names).join(F.broadcast(frontier), "id")
+        out.results = algebra.projected(shown, names, include).orderBy(best, F.col("id").cast("string"))
     else:
         out.results = frontier
+    if request.get("debug"):
+        returned = frontier.count()
+        stale = bool(manifest) and request.get("consistency") == "eventual" and bool(manifest["batches"])
+        reason = underfill(plan.top_k, returned, stale, 0 if snapshot.isEmpty() else 1, bool(request.get("filter")), namespace is not None)
+        out.debug = {"returned": returned, "underfill": reason, "version": manifest["version"] if manifest else None, "uncompacted": len(manifest["batches"]) if manifest else None}
     return out
 
 
-def strongest(requests: list[dict]) -> str:
-    """The consistency that serves all requests of a batch."""
-    return "strong" if any(r.get("consistency", "strong") == "strong" for r in requests) else "eventual"
+def answer_batch(requests: list[dict], namespace: Namespace, **options) -> list[Result | EngineError]:
+    """Answers over one generation, in the strong view if any request asks for it; an entry that fails gives its error alone."""
+    if len(requests) > MAX_BATCH:
+        raise ValidationError(f"at most {MAX_BATCH} queries")
+    view = "strong" if any(r.get("consistency", "strong") == "strong" for r in requests) else "eventual"
+    version = namespace.manifest()["version"]
+    out: list[Result | EngineError] = []
+    for r in requests:
+        try:
+            out.append(answer({"as_of": version} | r | {"consistency": view}, namespace, **options))
+        except EngineError as e:
+            out.append(e)
+    return out
 
 
 def execute_batch(requests: list[dict], snapshot: DataFrame, spec: NamespaceSpec, **options) -> list[Result | EngineError]:

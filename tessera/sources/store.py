@@ -25,9 +25,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.errors import Conflict, NotFound, PointInTimeNotRetained, ValidationError
+from tessera.operators import ann
 from tessera.operators.distance import finite
 from tessera.operators.filters import Compiler
 from tessera.operators.governance import Lock, check_locks
+from tessera.sources import index
 from tessera.sources import log as replay
 from tessera.spec import NamespaceSpec
 
@@ -88,7 +90,16 @@ class Files:
 
     def age(self, name: str) -> float:
         """Seconds since a file or folder was last changed."""
-        return time.time() - self._fs.getFileStatus(self._path(f"{self.root}/{name}")).getModificationTime() / 1000
+        return time.time() - self.modified(name) / 1000
+
+    def modified(self, name: str) -> int:
+        """When a file or folder was last changed, in milliseconds."""
+        return self._fs.getFileStatus(self._path(f"{self.root}/{name}")).getModificationTime()
+
+    def rename(self, old: str, new: str) -> bool:
+        """Give a folder its final name; False if that is taken."""
+        target = self._path(f"{self.root}/{new}")
+        return not self._fs.exists(target) and self._fs.rename(self._path(f"{self.root}/{old}"), target)
 
     def size(self, name: str) -> int:
         """Bytes of a file or of all files in a folder."""
@@ -271,11 +282,15 @@ class Namespace:
             out = out.unionByName(rows.withColumn("seq", F.lit(b["seq"]).cast("long")))
         return out
 
-    def segment(self, manifest: dict) -> DataFrame:
+    def folder(self, manifest: dict) -> str:
+        """Folder of a manifest's segment."""
         s = manifest["segment"]
-        if not s:
+        return f"{self.root}/{s['owner']}/segments/{s['segment']}"
+
+    def segment(self, manifest: dict) -> DataFrame:
+        if not manifest["segment"]:
             return self.spark.createDataFrame([], self.row_schema)
-        return self.spark.read.parquet(f"{self.root}/{s['owner']}/segments/{s['segment']}").select(*self.row_schema.names)
+        return index.read_rows(self.spark, self.folder(manifest), self.row_schema).drop("cluster_id")
 
     def snapshot(self, as_of=None, consistency: str = "strong") -> DataFrame:
         """Live rows at a point in time, in the strong or the eventual view."""
@@ -296,14 +311,56 @@ class Namespace:
         return sum(self.files.size(f"log/{b['batch']}") for b in m["batches"] if b.get("owner", self.spec.name) == self.spec.name) >= BYTES
 
     def compact(self) -> dict:
-        """Write the strong snapshot as the new segment and cut the log at the batches read. Rows that are not finite are dropped."""
+        """Write the strong snapshot as the new segment, with its index, and cut the log at the batches read. Rows that are not finite are dropped.
+
+        Centroids stay while the log holds at most ``index.RETRAIN`` times the
+        rows of the segment and the segment is the namespace's own.
+        """
         m = self.manifest()
         if not m["batches"]:
             return m
-        name = uuid.uuid4().hex
-        self.snapshot(m["version"]).where(finite(F.col("values"))).write.parquet(f"{self.root}/{self.spec.name}/segments/{name}")
+        name, old, added = uuid.uuid4().hex, None, 0.0
+        if m["segment"] and m["segment"]["owner"] == self.spec.name and m["segment"]["index"]["clusters"]:
+            old = index.read_centroids(self.spark, self.folder(m))
+            added = self.log(m).where(F.col("op") == "upsert").count() / max(1, m["segment"]["index"]["rows"])
+        about = index.write(self.snapshot(m["version"]).where(finite(F.col("values"))), self.spec, f"{self.root}/{self.spec.name}/segments/{name}", old, added)
         done = {b["batch"] for b in m["batches"]}
-        return self._publish(lambda new: new | {"segment": {"owner": self.spec.name, "segment": name}, "batches": [b for b in new["batches"] if b["batch"] not in done]})
+        return self._publish(lambda new: new | {"segment": {"owner": self.spec.name, "segment": name, "index": about}, "batches": [b for b in new["batches"] if b["batch"] not in done]})
+
+    def load(self, rows: DataFrame) -> dict:
+        """Fill an empty namespace with rows of any number: they become its first segment, without passing the log."""
+        if (m := self.manifest())["batches"] or m["segment"]:
+            raise Conflict(f"{self.spec.name} is not empty")
+        name = uuid.uuid4().hex
+        about = index.write(self.prepared(rows, None), self.spec, f"{self.root}/{self.spec.name}/segments/{name}")
+
+        def change(new: dict) -> dict:
+            if new["segment"]:
+                raise Conflict(f"{self.spec.name} is not empty")
+            return new | {"segment": {"owner": self.spec.name, "segment": name, "index": about}}
+
+        return self._publish(change)
+
+    def nearest(self, vector: list[float], k: int, as_of=None, consistency: str = "strong", nprobe: int | None = None, node: dict | None = None, exclude: list[str] = ()) -> DataFrame:
+        """(id, score) of the k nearest live rows: probed clusters of the segment without the rows that the log hides, and all of the log."""
+        m = self.resolve(as_of)
+        where = Compiler(self.row_schema, self.spec.text_fields).where(node)
+        where = where & ~F.col("id").isin(list(exclude)) if exclude else where
+        log, parts = self.log(m), []
+        if m["segment"]:
+            hidden = None
+            if m["batches"]:
+                hidden = log.select("id").distinct() if consistency == "strong" else replay.eventual_tombstones(log)
+            parts.append(index.probe(self.spark, self.folder(m), self.row_schema, m["segment"]["index"], vector, self.spec.metric, k, nprobe, node, where, hidden))
+        if m["batches"] and consistency == "strong":
+            parts.append(ann.exact(replay.live(log), vector, self.spec.metric, k, where))
+        if not parts:
+            return self.spark.createDataFrame([], "id string, score double")
+        return ann.ordered(parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1]), k)
+
+    def has_text(self, manifest: dict, fields: set[str]) -> bool:
+        """True if stored postings answer for these fields: a log would change the statistics."""
+        return not manifest["batches"] and bool(manifest["segment"]) and fields <= set(manifest["segment"]["index"]["text"])
 
     def put_snapshot(self, name: str, as_of=None) -> int:
         version = self.resolve(as_of)["version"]
@@ -321,8 +378,8 @@ class Namespace:
         """Independent copy of a point in time."""
         other = Namespace.create(self.spark, self.root, NamespaceSpec.from_dict(self.spec.to_dict() | {"name": name}), self.attributes)
         segment = uuid.uuid4().hex
-        self.snapshot(as_of).write.parquet(f"{self.root}/{name}/segments/{segment}")
-        other._publish(lambda m: m | {"segment": {"owner": name, "segment": segment}})
+        about = index.write(self.snapshot(as_of), other.spec, f"{self.root}/{name}/segments/{segment}")
+        other._publish(lambda m: m | {"segment": {"owner": name, "segment": segment, "index": about}})
         return other
 
     def fork(self, name: str, as_of=None) -> Namespace:
