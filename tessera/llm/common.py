@@ -34,9 +34,17 @@ def saved(df: DataFrame) -> DataFrame:
 
 
 def released(spark: SparkSession) -> None:
-    """Let go of what finished steps hold. Spark keeps shuffle files and broadcasts until the driver's garbage is collected."""
+    """Let go of what finished steps hold.
+
+    Spark keeps shuffle files and broadcasts until the driver's garbage is
+    collected. Executors keep the heap of their peak; a collection on each lets
+    them give it back, for the Python workers of the next step.
+    """
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+    n = max(1, spark.sparkContext.defaultParallelism)
+    if not spark.sparkContext._jsc.sc().isLocal():
+        spark.range(0, n, 1, n).where(F.expr("java_method('java.lang.System', 'gc') is not null")).count()
 
 
 def lightened(spark: SparkSession, size: str = "8m") -> None:

@@ -24,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import lightened, saved, table, tidied
@@ -263,20 +263,17 @@ def benchmark_hits(
     merged = parts[0]
     for part in parts[1:]:
         merged = merged.unionByName(part.where(F.size("items") > 0))
-    merged = merged.groupBy("__row").agg(
-        F.max("n_words").alias("n_words"),
-        F.array_sort(F.flatten(F.collect_list("hits"))).alias("hits"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
-    )
-    last = lambda a: F.element_at(a, -1)
+    merged = merged.select("__row", "n_words", "hits", "items")
+    # stretches that touch those before them make one, without building arrays step by step
+    each = merged.select("__row", F.explode("hits").alias("h")).select("__row", "h.start", "h.end")
+    before = Window.partitionBy("__row").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
+    each = each.withColumn("fresh", (F.col("start") > F.coalesce(F.max("end").over(before), F.lit(-1))).cast("int"))
+    each = each.withColumn("no", F.sum("fresh").over(Window.partitionBy("__row").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, 0)))
+    each = each.groupBy("__row", "no").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    each = each.groupBy("__row").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("hits"))
+    found = merged.groupBy("__row").agg(F.max("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
     none = F.array().cast("array<struct<start:int,end:int>>")
-
-    def joined(acc, x):
-        touch = (F.size(acc) > 0) & (x["start"] <= F.get(acc, F.size(acc) - 1)["end"])
-        grown = F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(last(acc)["start"].alias("start"), F.greatest(last(acc)["end"], x["end"]).alias("end"))))
-        return F.when(touch, grown).otherwise(F.concat(acc, F.array(x)))
-
-    merged = merged.withColumn("hits", F.aggregate("hits", none, joined))
+    merged = found.join(each, "__row", "left").withColumn("hits", F.coalesce("hits", none))
     return rows.drop("__t").join(merged, "__row").select(*keep, "n_words", "hits", "items")
 
 

@@ -9,6 +9,11 @@ as #) of the container it comes to. Spark sums the votes per host. Then every pa
 again with its host's winning path; a page on which that path has no text uses
 its own container.
 
+What an element's name or class says is judged after the page is read: an element
+named like a sidebar, or a form, that holds nearly all of the page's prose is the
+layout around the article and stays. A header inside an article loses all but its
+headings.
+
 The winners of up to ``host_bound`` hosts are broadcast; beyond that they are
 joined by host, a join that Spark may split where a host is large.
 
@@ -28,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import saved, table
+from tessera.llm.common import lightened, saved, table, tidied
 
 HOST_BOUND = 100_000
 
@@ -47,12 +52,17 @@ MARKS = frozenset(
     "navigation newsletter notice notices pager pagination popup promo promoted related share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split()
 )
 
+#: A marked element that holds this share of the page's prose is a layout, not what its name says; a form must hold paragraphs too.
+LAYOUT = 0.9
+PARAGRAPHS = 3
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+
 #: Text outside paragraphs, headings, lists and tables is prose from so many characters on.
 PROSE = 80
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|title|svg|iframe)\b[^>]*>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>|<[!?][^>]*>|</?[a-zA-Z][^<>]*(?:>|\Z)",
+    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*'){0,1000}+)>|<[!?][^>]*>|</?[a-zA-Z][^<>]*(?:>|\Z)",
     re.S | re.I,
 )
 _NAMES = re.compile(r"""\b(class|id|hidden|role)\b\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
@@ -61,16 +71,20 @@ _DIGITS = re.compile(r"\d+")
 
 
 class Page:
-    """Elements (parent, tag, path) and the blocks of text that are not dropped."""
+    """Elements (parent, tag, label, path number) and the blocks of text that are not dropped."""
 
     def __init__(self, html: str):
-        self.parent, self.tag, self.path = [-1], ["root"], ["root"]
+        self.parent, self.tag, self.label = [-1], ["root"], ["root"]
+        self.path = [0]  # numbers of paths; inline elements have their parent's
+        self._paths: dict[tuple[int, str], int] = {(-1, "root"): 0}
         self.blocks: list[tuple[int, str, int]] = []  # element, text, characters in links
-        self._dropped = [0]  # 0 no, 1 by name, 2 by element
+        self._mark = [0]  # of the element itself: 0 none, 1 by name, 2 by element
+        self._owner_of, self.holder = [0], [0]  # the nearest element that is not inline, and the nearest container
+        self._open_tags: dict[str, int] = {}
         self._buffer: list[str] = []
         self._links = self._in_link = 0
         self._owner = 0
-        stack = self._stack = [0]
+        self._stack = [0]
         at = 0
         for m in _TOKEN.finditer(html):
             if m.start() > at:
@@ -90,17 +104,70 @@ class Page:
         if at < len(html):
             self._text(html[at:])
         self._flush()
-        del stack
+        del self._stack, self._open_tags
+        self._settle()
 
-    def _text(self, raw: str) -> None:
-        if self._dropped[self._stack[-1]]:
+    def _settle(self) -> None:
+        """Drop the blocks of what is marked."""
+        n = len(self.parent)
+        if not any(self._mark):
             return
+        hard = [False] * n  # in an element dropped for what it is, forms aside
+        for e in range(1, n):
+            hard[e] = hard[self.parent[e]] or self._mark[e] == 2 and self.tag[e] != "form"
+        prose, paragraphs = [0] * n, [0] * n
+        for element, text, links in self.blocks:
+            if not hard[element]:
+                prose[element] += len(text) - links
+                paragraphs[element] += self.tag[element] == "p"
+        for e in range(n - 1, 0, -1):
+            prose[self.parent[e]] += prose[e]
+            paragraphs[self.parent[e]] += paragraphs[e]
+        dropped, inside = [0] * n, [False] * n
+        for e in range(1, n):
+            up, tag, mark = self.parent[e], self.tag[e], self._mark[e]
+            drop = dropped[up]
+            inside[e] = inside[up] or tag in ("article", "main")
+            if tag in ("article", "main") and drop == 1:
+                drop = 0
+            if mark and not drop:
+                layout = prose[e] and prose[e] >= LAYOUT * prose[0]
+                if mark == 2:
+                    spared = layout and tag == "form" and paragraphs[e] >= PARAGRAPHS
+                    drop = 0 if spared else 3 if tag == "header" and inside[up] else 2
+                else:
+                    drop = 0 if layout else 1
+            elif mark == 2 and drop in (1, 3):
+                drop = 2
+            dropped[e] = drop
+        self.blocks = [b for b in self.blocks if not dropped[b[0]] or dropped[b[0]] == 3 and self.tag[b[0]] in HEADINGS]
+
+    def path_of(self, element: int) -> str:
+        """Path of an element, from the root."""
+        out, last = [], -1
+        while element >= 0:
+            if self.path[element] != last:
+                last = self.path[element]
+                while self.tag[element] in INLINE:
+                    element = self.parent[element]
+                out.append(self.label[element])
+            element = self.parent[element]
+        return ">".join(out[::-1])
+
+    def at(self, path: str) -> list[int]:
+        """Elements with a path. Labels are compared along the path, so no other path is ever written out."""
+        reach = [-1] * len(self._paths)
+        for (up, label), no in self._paths.items():
+            begin = 0 if up < 0 else reach[up]
+            word = label if up < 0 else ">" + label
+            if begin >= 0 and path.startswith(word, begin):
+                reach[no] = begin + len(word)
+        return [e for e, no in enumerate(self.path) if reach[no] == len(path) and self.tag[e] not in INLINE]
+
+    def _text(self, raw: str) -> None:
         text = unescape(raw) if "&" in raw else raw
         if not self._buffer:
-            i = len(self._stack) - 1
-            while i and self.tag[self._stack[i]] in INLINE:
-                i -= 1
-            self._owner = self._stack[i]
+            self._owner = self._owner_of[self._stack[-1]]
         self._buffer.append(text)
         if self._in_link:
             self._links += len(text)
@@ -132,20 +199,23 @@ class Page:
             hidden |= name.lower() == "hidden"
             if name.lower() in ("class", "id"):
                 names += " " + value
-        up = stack[-1]
-        drop = self._dropped[up]
-        if tag in ("article", "main") and drop == 1:
-            drop = 0
+        up, element = stack[-1], len(self.tag)
+        mark = 0
         if tag in DROP:
-            drop = 2
-        elif not drop and (hidden or (names and tag not in ("html", "body") and not MARKS.isdisjoint(_PARTS.split(names.lower())))):
-            drop = 1
+            mark = 2
+        elif hidden or (names and tag not in ("html", "body") and not MARKS.isdisjoint(_PARTS.split(names.lower()))):
+            mark = 1
         label = tag + "".join("." + c for c in sorted(set(_DIGITS.sub("#", classes).split()))) if classes else tag
+        inline = tag in INLINE
         self.parent.append(up)
         self.tag.append(tag)
-        self.path.append(f"{self.path[up]}>{label}" if tag not in INLINE else self.path[up])
-        self._dropped.append(drop)
-        stack.append(len(self.tag) - 1)
+        self.label.append(label)
+        self.path.append(self.path[up] if inline else self._paths.setdefault((self.path[up], label), len(self._paths)))
+        self._mark.append(mark)
+        self._owner_of.append(self._owner_of[up] if inline else element)
+        self.holder.append(self.holder[up] if inline or tag in LEAF else element)
+        self._open_tags[tag] = self._open_tags.get(tag, 0) + 1
+        stack.append(element)
 
     def _close(self, tag: str) -> None:
         if tag not in INLINE:
@@ -154,27 +224,26 @@ class Page:
 
     def _pop(self, tags: tuple[str, ...], stop: frozenset) -> None:
         """Close the innermost of some elements and all that is open in it, unless an element of ``stop`` is nearer."""
-        stack = self._stack
+        stack, count = self._stack, self._open_tags
+        if not any(count.get(t) for t in tags):
+            return
         for i in range(len(stack) - 1, 0, -1):
             tag = self.tag[stack[i]]
             if tag in tags:
-                self._in_link -= sum(self.tag[x] == "a" for x in stack[i:])
+                for x in stack[i:]:
+                    count[self.tag[x]] -= 1
+                    self._in_link -= self.tag[x] == "a"
                 del stack[i:]
                 return
             if tag in stop:
                 return
 
-    def container(self, element: int) -> int:
-        while element and (self.tag[element] in LEAF or self.tag[element] in INLINE):
-            element = self.parent[element]
-        return element
-
     def best(self) -> tuple[int, float]:
         """The container of the article and the score of the best one in it; the root of a page without text."""
         score: dict[int, float] = {}
         for element, text, links in self.blocks:
             worth = len(text) - 2 * links
-            c = self.container(element)
+            c = self.holder[element]
             factor = 1.5 if self.tag[c] in ("article", "main") else 1.0
             score[c] = score.get(c, 0) + worth * factor
             if c:
@@ -206,19 +275,17 @@ class Page:
 
     def text(self, inside) -> str:
         """Blocks inside some elements, joined in page order."""
-        chosen = set(inside)
-        keep = []
-        for element, text, _ in self.blocks:
-            while element not in chosen and element > 0:
-                element = self.parent[element]
-            if element in chosen:
-                keep.append(text)
-        return "\n".join(keep)
+        chosen = [False] * len(self.parent)
+        for e in inside:
+            chosen[e] = True
+        for e in range(1, len(chosen)):
+            chosen[e] = chosen[e] or chosen[self.parent[e]]
+        return "\n".join(text for element, text, _ in self.blocks if chosen[element])
 
     def extract(self, path: str | None) -> str:
         """Text by a host's path, or else by the page's own container."""
         if path is not None:
-            out = self.text(i for i, p in enumerate(self.path) if p == path and self.tag[i] not in INLINE)
+            out = self.text(self.at(path))
             if out:
                 return out
         return self.text([self.best()[0]])
@@ -239,13 +306,14 @@ def _vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             page = Page(html)
             top, score = page.best()
             if page.blocks:
-                v = votes.setdefault((host, page.path[top]), [0, 0.0])
+                v = votes.setdefault((host, page.path_of(top)), [0, 0.0])
                 v[0] += 1
                 v[1] += round(score)
         if len(votes) > 50_000:
             yield summed()
             votes.clear()
     yield summed()
+    tidied()
 
 
 def _extractor(shared):
@@ -255,6 +323,7 @@ def _extractor(shared):
             texts = [Page(h).extract(p) for h, p in zip(batch.column("html").to_pylist(), paths, strict=True)]
             cols = [batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())]
             yield pa.RecordBatch.from_arrays(cols, ["page_id", "url", "text", "n_chars"])
+        tidied()
 
     return extract
 
@@ -274,6 +343,7 @@ def host_paths(pages: DataFrame) -> DataFrame:
 
 def main_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", host_bound: int = HOST_BOUND) -> DataFrame:
     """page_id, url, text and n_chars of each page."""
+    lightened(pages.sparkSession)
     rows = pages.select(
         F.col(page_id).alias("page_id"), F.col(url).cast("string").alias("url"), F.coalesce(F.col(html).cast("string"), F.lit("")).alias("html")
     ).withColumn("host", host_of(F.col("url")))

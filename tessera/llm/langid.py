@@ -11,8 +11,10 @@ Prediction: per-language popcounts over a text's n-grams, corrected for the
 false positives that the filter's filling makes likely, decide; the score is
 the corrected share of the text's n-grams that the language contains.
 
-The filter has at most ``MAX_SLOTS`` slots whatever the corpus, so its broadcast
-has a fixed bound. Words are looked up once per task while its table has room.
+An n-gram needs a share of ``min_share``, so a language has at most 1 / min_share
+of each length, whatever the corpus; the filter has eight slots an n-gram, at
+most ``MAX_SLOTS`` (room for over a hundred languages), so its broadcast has a fixed bound. Words
+are looked up once per task while its table has room.
 
 Defined results: a null or letterless text is ``und`` with score 0, and so is
 every text when nothing was learnt. Rows with a null lang teach nothing. A null
@@ -32,13 +34,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import table
+from tessera.llm.common import lightened, table, tidied
 from tessera.llm.pieces import slices
 
 MIN_SHARE = 2e-5
 MIN_LIFT = 0.05
 HASHES = 3
-MAX_SLOTS = 1 << 21
+MAX_SLOTS = 1 << 25
 CHARS = 6_000_000
 ROOM = 300_000
 
@@ -47,8 +49,12 @@ _MULTIPLY = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.ui
 
 
 def words_of(text: str) -> list[str]:
-    """Lower-case letter runs of a text."""
-    return _WORDS.findall(text.lower())
+    """Lower-case runs of letters (general category L) of a text."""
+    found = _WORDS.findall(text.lower())
+    if text.isascii():
+        return found
+    # \w also holds numbers like ² and Ⅷ
+    return [w for run in found for w in ([run] if run.isalpha() else "".join(c if c.isalpha() else " " for c in run).split())]
 
 
 def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -156,6 +162,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def learn(rows: DataFrame, min_share: float = MIN_SHARE, min_lift: float = MIN_LIFT, max_slots: int = MAX_SLOTS) -> Model:
     """Model of rows with lang and text. The driver gets the languages and the slots of the filter."""
+    lightened(rows.sparkSession)
     rows = rows.where("lang is not null and text is not null")
     ranked = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()
     languages = [r["lang"] for r in ranked]
@@ -201,6 +208,8 @@ def predict(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str,
             cols = {k: batch.column(k) for k in keep}
             cols |= {"lang_pred": pa.array([g[0] for g in got], pa.string()), "score": pa.array([g[1] for g in got], pa.float64())}
             yield pa.RecordBatch.from_pydict(cols)
+        del predictor
+        tidied()
 
     return rows.mapInArrow(run, f"{head}, lang_pred string, score double")
 

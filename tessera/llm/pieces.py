@@ -5,9 +5,12 @@ text is that of its words one by one: each run of spaces goes with the
 characters that follow it. Spaces and the mark character itself are one and the
 same to such a model.
 
-Scores are the model's own, as whole numbers. A character that no piece has
-costs ``UNKNOWN`` below the least score and becomes its UTF-8 bytes, as byte
-fallback asks.
+Scores are the model's own. A character that no piece has costs ``UNKNOWN``
+below the least score and becomes its UTF-8 bytes, as byte fallback asks.
+
+Models that this can't follow are refused: those with a piece that has the mark
+behind other characters, with user-defined pieces, without byte pieces, or with a
+normalizer that changes texts.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ BASE = np.uint64(0x9E3779B97F4A7C15)
 MIX = np.uint64(0xC2B2AE3D27D4EB4F)
 SHIFT = np.uint64(48)
 UNKNOWN = 10
-NEVER = np.int64(-(1 << 60))
+NEVER = np.float64(-1e300)
 
 _UNITS = re.compile(" *[^ ]+| +")
 
@@ -69,10 +72,12 @@ class Pieces:
 
     def __init__(self, model: bytes):
         self.pieces: list[str] = []
-        ordinary: list[tuple[str, int, int]] = []
+        ordinary: list[tuple[str, int, float]] = []
         self.byte_ids = np.full(256, -1, np.int32)
         self.byte_of: dict[int, int] = {}
         for number, value in _fields(model):
+            if number == 3 and dict(_fields(value)).get(1, b"identity") not in (b"identity", b""):
+                raise ValueError("the model normalizes texts")
             if number != 1:
                 continue
             piece = dict(_fields(value))
@@ -85,7 +90,13 @@ class Pieces:
                 self.byte_ids[byte] = no
                 self.byte_of[no] = byte
             elif kind == 1:
-                ordinary.append((text, no, int(score)))
+                if MARK in text.lstrip(MARK):
+                    raise ValueError(f"a mark inside a piece: {text!r}")
+                ordinary.append((text, no, score))
+            elif kind == 4:
+                raise ValueError(f"a user-defined piece: {text!r}")
+        if (self.byte_ids < 0).any():
+            raise ValueError("the model has no byte pieces")
         self.surface = [p.replace(MARK, " ") for p in self.pieces]
         self.max_chars = max(len(t) for t, _, _ in ordinary)
         self.unknown = min(s for _, _, s in ordinary) - UNKNOWN
@@ -102,7 +113,7 @@ class Pieces:
                 raise ValueError("two pieces have one key")
             sieve = np.zeros(1 << 16, np.bool_)
             sieve[(keys >> SHIFT).astype(np.int64)] = True
-            self.tables.append((keys, np.array([x[1] for x in own], np.int32), np.array([x[2] for x in own], np.int64), sieve))
+            self.tables.append((keys, np.array([x[1] for x in own], np.int32), np.array([x[2] for x in own], np.float64), sieve))
 
     @staticmethod
     def key(piece: str) -> np.uint64:

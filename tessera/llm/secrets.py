@@ -39,6 +39,8 @@ KINDS = (
     ("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----[A-Za-z0-9+/=\s]+-----END [A-Z ]*PRIVATE KEY-----", 0, 1),
     ("urlpass", r"[a-z][a-z0-9+.-]*://[^\s/:@]+:[^\s/@]+@", 0, 1),
 )
+#: A run of scheme letters is tried from its first letter alone: a later one can't begin an earlier match. Else a long run is read again and again.
+FIRST_OF_RUN = r"(?<![a-z])(?<![a-z][0-9+.-]{1,64})"
 BASE = 3
 MAX_OWNERS = 3
 
@@ -47,23 +49,37 @@ SPAN = "array<struct<start:bigint,kind_no:int,kind:string,end:bigint,value:strin
 
 def _spans(t: Column, no: int, kind: str, pattern: str, group: int, least: int) -> Column:
     """Matches of one kind as (start, kind_no, kind, end, value); offsets in code points."""
+    pattern = FIRST_OF_RUN + pattern if kind == "urlpass" else pattern
     lit = F.lit(pattern)
     whole = F.regexp_extract_all(t, lit, 0)
     value = F.regexp_extract_all(t, lit, group) if group else whole
     gaps = F.transform(F.split(t, pattern, -1), lambda x: F.length(x).cast("long"))
-
-    def step(acc: Column, m: Column) -> Column:
-        start = acc["at"] + F.get(gaps, F.size(acc["out"]))
-        end = start + F.length(m["w"])
-        span = F.struct(start.alias("start"), F.lit(no).alias("kind_no"), F.lit(kind).alias("kind"), end.alias("end"), m["v"].alias("value"))
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(span)).cast(SPAN).alias("out"))
-
-    zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(SPAN).alias("out"))
-    found = F.aggregate(F.arrays_zip(whole.alias("w"), value.alias("v")), zero, step, lambda acc: acc["out"])
+    # a match ends where the gaps and matches up to it end
+    ends = F.transform(F.arrays_zip(whole.alias("w"), value.alias("v"), F.slice(gaps, 1, F.greatest(F.size(gaps) - 1, F.lit(0))).alias("g")), _measured)
+    found = F.zip_with(ends, _running(F.transform(ends, lambda m: m["g"] + m["n"])), lambda m, end: _span(m, end, no, kind))
     found = F.filter(found, lambda s: F.length(s["value"]) >= least)
     return F.when(t.rlike(pattern), found).otherwise(F.array().cast(SPAN))
 
 
+def _measured(m: Column) -> Column:
+    return F.struct(m["g"].alias("g"), F.length(m["w"]).cast("long").alias("n"), m["v"].alias("v"))
+
+
+def _span(m: Column, end: Column, no: int, kind: str) -> Column:
+    return F.struct((end - m["n"]).alias("start"), F.lit(no).alias("kind_no"), F.lit(kind).alias("kind"), end.alias("end"), m["v"].alias("value"))
+
+
+def _running(numbers: Column) -> Column:
+    """Running sums of an array, by adding it to itself shifted by 1, 2, 4 and so on places."""
+
+    def step(acc: Column, shift: Column) -> Column:
+        moved = F.concat(F.array_repeat(F.lit(0).cast("long"), F.least(shift, F.size(acc))), F.slice(acc, 1, F.greatest(F.size(acc) - shift, F.lit(0))))
+        return F.when(shift < F.size(acc), F.zip_with(acc, moved, lambda a, b: a + b)).otherwise(acc)
+
+    shifts = F.transform(F.sequence(F.lit(0), F.lit(30)), lambda k: F.pow(F.lit(2), k).cast("int"))
+    return F.aggregate(F.filter(shifts, lambda x: x < F.size(numbers)), numbers, step)
+
+
 def scanned(docs: DataFrame, text: str, keep: tuple[str, ...], owner: str | None, repository: str | None) -> DataFrame:
     """``keep``, owner, repository and all candidate spans of each row."""
     t = F.col("__t")

@@ -67,7 +67,7 @@ class Counter:
         live = np.arange(len(start))
         node = np.zeros(len(start), np.int64)
         # of the last max_chars + 1 levels, newest last: score, tokens, hash of each node and its parent in the level above
-        levels = [(np.zeros(1, np.int64), np.zeros(1, np.int64), np.zeros(1, np.uint64), np.zeros(1, np.int64))]
+        levels = [(np.zeros(1), np.zeros(1, np.int64), np.zeros(1, np.uint64), np.zeros(1, np.int64))]
         level = 0
         with np.errstate(over="ignore"):
             while len(live):

@@ -4,11 +4,14 @@ import hashlib
 import math
 import random
 import re
+import struct
+import time
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.llm import decontam, html_extract, kn_quality, langid, ngram_join, quality_rules, secrets, sentencepiece_viterbi, token_counts, warc
 from tessera.llm.pieces import Pieces, default_path, units
@@ -611,3 +614,116 @@ def test_rtree_finds_all_that_may_fit():
         found, bound = tree.search(points[i], size[i])
         want = {j for j in range(300) if 7 * np.minimum(points[i], points[j]).sum() >= 3 * (size[i] + size[j])}
         assert set(found.tolist()) == want and (bound == np.minimum(points[found], points[i]).sum(axis=1)).all()
+
+
+# Long and odd inputs
+
+
+def test_secrets_of_long_texts(spark):
+    """A run of a million letters, and 20,000 spans, within seconds."""
+    many = " ".join(f"{i:016x}" for i in range(20_000))
+    texts = ["z" * 1_000_000, "x1" * 200_000 + "://u:p@", many, "9http://me:secret@host a://b:c@"]
+    start = time.time()
+    got = by_id(secrets.secret_scan(table(spark, texts).withColumns({"source": F.lit("s"), "lang": F.lit("en")})))
+    assert time.time() - start < 120
+    assert got[0]["spans"] == "" and got[1]["spans"] == "urlpass:0:400007"
+    assert got[2]["n_hex"] == 20_000 and got[2]["spans"].split(",")[-1] == f"hex:{17 * 19_999}:{17 * 20_000 - 1}"
+    assert got[3]["spans"] == "urlpass:1:18,urlpass:23:31"
+
+
+PROSE = "<p>" + "some words of the story " * 12 + "</p>"
+
+
+@pytest.mark.parametrize(
+    ("html", "starts", "lacks"),
+    [
+        (f"<div class='layout has-sidebar'><div class=post>{PROSE * 3}</div><div class=sidebar><p>aside it</p></div></div>", "some words", "aside it"),
+        (f"<form action=x><h1>Title</h1>{PROSE * 3}</form>", "Title", None),
+        (f"<article><header><h1>Headline</h1><p>by someone</p></header>{PROSE}</article><footer>imprint</footer>", "Headline", "by someone"),
+        (f"<div class=post>{PROSE}</div><div class=comments>{PROSE}<p>first!</p></div>", "some words", "first!"),
+        ("<form>Name <input> <p>Log in</p></form>", "", None),
+    ],
+)
+def test_names_do_not_lose_articles(html, starts, lacks):
+    text = html_extract.Page(html).extract(None)
+    assert text.startswith(starts) and bool(text) == bool(starts) and (not lacks or lacks not in text)
+
+
+@pytest.mark.parametrize("html", ["<div class=a1>" * 100_000 + "x", "<b>x" * 100_000, "<div>" * 50_000 + "</p>" * 100_000, '<a "' * 20_000])
+def test_deep_and_broken_pages(html):
+    start = time.time()
+    page = html_extract.Page(html)
+    page.extract(page.path_of(page.best()[0]))
+    assert time.time() - start < 20
+
+
+def test_host_votes_by_brute_force(spark):
+    rng = random.Random(12)
+    pages = []
+    for i in range(60):
+        inner = "".join(f"<p>{' '.join(words(rng, 30))}</p>" for _ in range(rng.randint(1, 3)))
+        shape = rng.choice([f"<div class='post p{i}'>{inner}</div>", f"<main><div class=body>{inner}</div></main>", f"<section>{inner}</section>"])
+        pages.append((i, f"http://h{i % 4}.example/{i}", f"<html><body><nav>menu</nav>{shape}</body></html>"))
+    votes = {}
+    for _, url, html in pages:
+        page = html_extract.Page(html)
+        top, score = page.best()
+        v = votes.setdefault(url.split("/")[2], {}).setdefault(page.path_of(top), [0, 0])
+        v[0] += 1
+        v[1] += round(score)
+    want = {host: min(paths, key=lambda p: (-paths[p][0], -paths[p][1], p)) for host, paths in votes.items()}
+    rows = spark.createDataFrame([(u.split("/")[2], h) for _, u, h in pages], "host string, html string").repartition(5)
+    assert {r["host"]: r["path"] for r in html_extract.host_paths(rows).collect()} == want
+    got = {r["page_id"]: r["text"] for r in html_extract.main_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    for i, url, html in pages:
+        path = want[url.split("/")[2]]
+        page = html_extract.Page(html)
+        held = [e for e in range(len(page.parent)) if page.path_of(e) == path and page.tag[e] not in html_extract.INLINE]
+
+        def inside(e, held=held, page=page):
+            return e in held or (e > 0 and inside(page.parent[e]))
+
+        own = "\n".join(t for e, t, _ in page.blocks if inside(e))
+        assert got[i] == (own or page.extract(None))
+
+
+def test_language_words_are_letters_only():
+    assert langid.words_of("x² ½ Ⅷ ① naïve ŠKODA 日本語²x") == ["x", "naïve", "škoda", "日本語", "x"]
+
+
+def test_real_scores_are_kept_and_odd_models_refused():
+    def field(no, kind, data):
+        return bytes([no << 3 | kind]) + (bytes([len(data)]) + data if kind == 2 else data)
+
+    def piece(text, score, kind=1):
+        return field(1, 2, field(1, 2, text.encode()) + field(2, 5, struct.pack("<f", score)) + field(3, 0, bytes([kind])))
+
+    table_of = b"".join(piece(f"<0x{b:02X}>", 0.0, 6) for b in range(256))
+    model = table_of + b"".join(piece(t, s) for t, s in (("▁", -1.0), ("a", -1.0), ("b", -1.0), ("ab", -1.9), ("▁ab", -2.95)))
+    codec = sentencepiece_viterbi.Codec(Pieces(model))
+    ids = np.frombuffer(codec.encode(["ab"])[0], np.int32)
+    assert [codec.p.pieces[i] for i in ids] == ["▁", "ab"]  # -2.9 against -2.95 and -3
+    for bad in (piece("a▁b", -1.0), piece("user", 0.0, 4), field(3, 2, field(1, 2, b"nmt_nfkc"))):
+        with pytest.raises(ValueError):
+            Pieces(model + bad)
+    with pytest.raises(ValueError):
+        Pieces(piece("a", -1.0))
+
+
+def test_token_counts_by_a_plain_program(pieces):
+    """Best segmentations word by word, for words shorter and longer than what advances together."""
+    rng = random.Random(2)
+    score = {pieces.pieces[int(i)]: float(s) for _, ids, values, _ in pieces.tables for i, s in zip(ids, values, strict=True)}
+    texts = [" ".join(words(rng, 12)), "x" * 300, "".join(rng.choice("abcdefgh") for _ in range(400)), "naïve 日本 ☃ é", "  two  spaces "]
+    codec = sentencepiece_viterbi.Codec(pieces)
+    for text in texts:
+        s = "▁" + text.replace(" ", "▁")
+        best = [(0.0, 0)] + [(-math.inf, 0)] * len(s)
+        for j in range(1, len(s) + 1):
+            for k in range(min(j, pieces.max_chars), 0, -1):
+                part = s[j - k : j]
+                if part in score and best[j - k][0] + score[part] > best[j][0]:
+                    best[j] = (best[j - k][0] + score[part], best[j - k][1] + 1)
+            if s[j - 1] not in score and best[j - 1][0] + pieces.unknown > best[j][0]:
+                best[j] = (best[j - 1][0] + pieces.unknown, best[j - 1][1] + len(s[j - 1].encode()))
+        assert len(np.frombuffer(codec.encode([text])[0], np.int32)) == best[-1][1]
