@@ -3,7 +3,13 @@
 Each stage takes (spark, docs, sf_dir), works on all rows its predecessor kept
 and returns the columns of ``docs``; the last one returns the encoded texts.
 ``run`` keeps every stage's rows in the shared checkpoint folder, so a lost
-executor costs no more than the stage at hand.
+executor costs no more than the stage at hand. Stages that run Python workers
+first have executors give back the heap of the stage before.
+
+Defined results, in every stage: rows without a doc_id are told apart by their
+text; null and empty texts fail the quality rules and so never reach the later
+stages, which would keep them; rows that are equal in doc_id and text become one
+in the second stage; an empty table passes through as one.
 
 Rows are told apart by doc_id and text. Lists of rows to drop or to change are
 broadcast up to ``LIST_BOUND`` rows and joined by key beyond that.
@@ -15,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import decontam, ngram_join, quality_rules, secrets, sentencepiece_viterbi
-from tessera.llm.common import saved, table
+from tessera.llm.common import released, saved, table
 
 LIST_BOUND = 1_000_000
 
@@ -43,6 +49,7 @@ def keep_by_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the row with the least doc_id; of rows with equal doc_id and text one."""
+    released(spark)
     keyed = docs.withColumn("__key", _key())
     groups = saved(ngram_join.ngram_jaccard_join(keyed, "text", "__key"))
     later = _listed(groups.where(~F.col("__key").eqNullSafe(F.col("component_id"))).select("__key").distinct())
@@ -56,6 +63,7 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def remove_benchmark_spans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without benchmark passages; rows that are mostly benchmark go."""
+    released(spark)
     return decontam.decontaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
@@ -79,6 +87,7 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """SentencePiece ids of the texts."""
+    released(spark)
     return sentencepiece_viterbi.encode(docs, "text", tuple(c for c in ("doc_id", "lang", "source") if c in docs.columns))
 
 
