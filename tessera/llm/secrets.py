@@ -40,7 +40,9 @@ KINDS = (
     ("urlpass", r"[a-z][a-z0-9+.-]*://[^\s/:@]+:[^\s/@]+@", 0, 1),
 )
 #: A run of scheme letters is tried from its first letter alone: a later one can't begin an earlier match. Else a long run is read again and again.
-FIRST_OF_RUN = r"(?<![a-z])(?<![a-z][0-9+.-]{1,64})"
+FIRST_OF_RUN = r"(?<![a-z])(?<![a-z][0-9+.-]{1,3})"
+#: What a match of a kind holds for certain; texts without it are not searched.
+HOLDS = {"access": "AKIA", "jwt": "eyJ", "pem": "-----BEGIN ", "urlpass": "://"}
 BASE = 3
 MAX_OWNERS = 3
 
@@ -58,7 +60,8 @@ def _spans(t: Column, no: int, kind: str, pattern: str, group: int, least: int)
     ends = F.transform(F.arrays_zip(whole.alias("w"), value.alias("v"), F.slice(gaps, 1, F.greatest(F.size(gaps) - 1, F.lit(0))).alias("g")), _measured)
     found = F.zip_with(ends, _running(F.transform(ends, lambda m: m["g"] + m["n"])), lambda m, end: _span(m, end, no, kind))
     found = F.filter(found, lambda s: F.length(s["value"]) >= least)
-    return F.when(t.rlike(pattern), found).otherwise(F.array().cast(SPAN))
+    may = t.contains(HOLDS[kind]) & t.rlike(pattern) if kind in HOLDS else t.rlike(pattern)
+    return F.when(may, found).otherwise(F.array().cast(SPAN))
 
 
 def _measured(m: Column) -> Column:
