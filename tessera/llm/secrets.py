@@ -58,7 +58,8 @@ def _spans(t: Column, no: int, kind: str, pattern: str, group: int, least: int)
     gaps = F.transform(F.split(t, pattern, -1), lambda x: F.length(x).cast("long"))
     # a match ends where the gaps and matches up to it end
     ends = F.transform(F.arrays_zip(whole.alias("w"), value.alias("v"), F.slice(gaps, 1, F.greatest(F.size(gaps) - 1, F.lit(0))).alias("g")), _measured)
-    found = F.zip_with(ends, _running(F.transform(ends, lambda m: m["g"] + m["n"])), lambda m, end: _span(m, end, no, kind))
+    # an array of one binds the matches to a variable, so that they are searched for once
+    found = F.get(F.transform(F.array(ends), lambda e: F.zip_with(e, _running(F.transform(e, lambda m: m["g"] + m["n"])), lambda m, end: _span(m, end, no, kind))), F.lit(0))
     found = F.filter(found, lambda s: F.length(s["value"]) >= least)
     may = t.contains(HOLDS[kind]) & t.rlike(pattern) if kind in HOLDS else t.rlike(pattern)
     return F.when(may, found).otherwise(F.array().cast(SPAN))
