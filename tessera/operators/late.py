@@ -25,15 +25,20 @@ def maxsim(rows: DataFrame, query: Sequence[Sequence[float]], k: int) -> DataFra
     return ordered(rows.groupBy("id").agg(*best).select("id", total.alias("score")), k, descending=True)
 
 
-def maxsim_matrices(rows: DataFrame, query: Sequence[Sequence[float]], k: int) -> DataFrame:
-    """The same over whole matrices (id, matrix: array of vectors), as one matrix product a row."""
+def matrix_scores(rows: DataFrame, query: Sequence[Sequence[float]]) -> DataFrame:
+    """(id, score) of all rows (id, matrix: array of vectors), as one matrix product a row."""
     q = np.asarray(query, np.float64)
 
     @F.arrow_udf(T.DoubleType())
     def score(matrix: pa.Array) -> pa.Array:
         return pa.array([float((np.array(m, np.float64) @ q.T).max(axis=0).sum()) if m else float("-inf") for m in matrix.to_pylist()])
 
-    return ordered(rows.select("id", score("matrix").alias("score")), k, descending=True)
+    return rows.select("id", score("matrix").alias("score"))
+
+
+def maxsim_matrices(rows: DataFrame, query: Sequence[Sequence[float]], k: int) -> DataFrame:
+    """The best k of them."""
+    return ordered(matrix_scores(rows, query), k, descending=True)
 
 
 class FixedEncoder:
@@ -101,6 +106,15 @@ def late_search(rows: DataFrame, encoded: DataFrame, encoder: FixedEncoder, quer
     return maxsim_matrices(rows.join(F.broadcast(first.select("id")), "id", "left_semi"), query, k)
 
 
+def matched(rows: DataFrame, query: Sequence[Sequence[float]], k: int, candidates: int | None = None) -> DataFrame:
+    """(id, score) of rows (id, matrix) by MaxSim: of all rows, or of the best ``candidates`` by their encodings. Rows without vectors match nothing."""
+    rows = rows.where(F.size("matrix") > 0)
+    if candidates is None:
+        return maxsim_matrices(rows, query, k)
+    encoder = FixedEncoder(len(query[0]))
+    return late_search(rows, encode_documents(rows, encoder), encoder, query, k, max(k, candidates))
+
+
 def overlay(segment: DataFrame, log: DataFrame, touched: DataFrame, k: int) -> DataFrame:
     """Scored segment rows that the log has not touched, and scored log rows."""
     return ordered(segment.join(touched.select("id").distinct(), "id", "left_anti").unionByName(log), k, descending=True)

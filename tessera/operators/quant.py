@@ -127,6 +127,17 @@ class Rotation:
         return out
 
 
+def rotated(rows: DataFrame, rotation: Rotation) -> DataFrame:
+    """(id, values) with the vectors rotated; lengths and dot products stay."""
+
+    @F.arrow_udf(T.ArrayType(T.DoubleType()))
+    def turn(values: pa.Array) -> pa.Array:
+        x = values.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(values), -1)
+        return pa.array(list(rotation.apply(x)), pa.list_(pa.float64()))
+
+    return rows.select("id", turn("values").alias("values"))
+
+
 def two_bit(residual: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Levels (-1.5, -0.5, 0.5, 1.5) of rotated residuals, their norms, and the dot of each code with its unit residual.
 

@@ -412,11 +412,14 @@ def bm25_prefix_log(spark, sf):
     return rounded(ann.ordered(found, 20, True), "score")
 
 
-@register("bm25_policy_scoped", best_sql(f"(SELECT * FROM {bm25_sql('text', ['avec', 'dans'], relation='(SELECT * FROM documents WHERE lang = ' + chr(39) + 'fr' + chr(39) + ')')} y WHERE id % 2 = 0)"))
+FRENCH = "(SELECT * FROM documents WHERE lang = 'fr')"
+
+
+@register("bm25_policy_scoped", best_sql(f"(SELECT b.* FROM {bm25_sql('text', ['avec', 'dans'], relation=FRENCH)} b JOIN documents d ON b.id = d.doc_id WHERE d.source IS NULL OR d.source <> 'src3')"))
 def bm25_policy(spark, sf):
-    docs = read(spark, sf, "documents").where("lang = 'fr'")
-    found = text.bm25(docs, "doc_id", "text", "avec dans").where("id % 2 = 0")
-    return rounded(ann.ordered(found, 20, True), "score")
+    policy = governance.decide([governance.Grant(frozenset(["query"]), filter={"op": "eq", "field": "lang", "value": "fr"})], "query", "texts")
+    request = {"rank_by": ["text", "BM25", "avec dans"], "filter": {"op": "not_eq", "field": "source", "value": "src3"}, "top_k": 20, "include_attributes": False}
+    return rounded(requests.execute(request, read(spark, sf, "documents").withColumnRenamed("doc_id", "id"), SPEC, policy).results, "score")
 
 
 # retrieval algebra over vectors joined with texts
@@ -635,7 +638,7 @@ def content_hash(spark, sf):
     return read(spark, sf, "documents").select(F.col("doc_id").alias("id"), digest("doc_id", "lang", "source").alias("content_hash"))
 
 
-@register("encoder_coverage")
+@register("encoder_coverage", r"SELECT CASE WHEN trim(coalesce(text, '')) = '' THEN 'failed' ELSE 'ready' END AS status, count(*) AS n, CAST(sum(len(regexp_extract_all(text, '\S+'))) AS BIGINT) AS vectors FROM benchmark GROUP BY 1")
 def encoder_coverage(spark, sf):
     from tessera.operators.encoders import HashEncoder, enrich
     from tessera.sources.upserts import units
@@ -743,3 +746,6 @@ def index_bitmap_count(spark, sf):
         for op, name in (("or", "either"), ("and", "both"))
     ]
     return counts[0].join(F.broadcast(counts[1]))
+
+
+from tessera.plans import operations  # noqa: E402, F401  (registers its queries)

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.errors import Denied, EngineError, NotImplementedYet, ValidationError
-from tessera.operators import algebra, ann
+from tessera.operators import algebra, ann, late
 from tessera.operators.distance import check_dimensions
 from tessera.operators.filters import Compiler, checked, fields, refuse_masked
 from tessera.operators.governance import Decision
@@ -109,6 +109,14 @@ class Plan:
             for name, _ in RankBy(s["rank_by"]).leaves:
                 if name not in self.spec.text_fields:
                     raise ValidationError(f"{name} is no full-text field")
+        elif kind == "late_interaction":
+            vectors = s.get("vectors")
+            if not vectors or not s.get("field"):
+                raise ValidationError("a late_interaction source takes vectors and the field that holds the rows' matrices")
+            for v in vectors:
+                check_dimensions(v, len(vectors[0]))
+            if not 1 <= s.get("candidates", 1) <= MAX_CANDIDATES:
+                raise ValidationError("candidates out of range")
         else:
             raise ValidationError(f"unknown source: {kind!r}")
 
@@ -119,6 +127,7 @@ class Plan:
         out |= set(r.get("facets") or ()) | ({r["grouping"]["field"]} if r.get("grouping") else set())
         for s in self.sources:
             out |= {f for f, _ in RankBy(s["rank_by"]).leaves} if s["type"] == "bm25" else set()
+            out |= {s["field"]} if s["type"] == "late_interaction" else set()
         return out
 
     def describe(self) -> dict:
@@ -181,6 +190,11 @@ def execute(
                 continue
             pool = shown.where(~F.col("id").isin(seeds)) if seeds else shown
             found.append((ann.exact(pool, vector, spec.metric, width), True))
+        elif s["type"] == "late_interaction":
+            if s["field"] not in rows.columns:
+                raise ValidationError(f"no field {s['field']}")
+            pool = shown.where(~F.col("id").isin(seeds)) if seeds else shown
+            found.append((late.matched(pool.select("id", F.col(f"`{s['field']}`").alias("matrix")), s["vectors"], width, s.get("candidates")), False))
         else:
             # statistics over all visible rows; the caller's filter only gates what comes out
             if namespace and namespace.has_text(manifest, {f for f, _ in RankBy(s["rank_by"]).leaves}):

@@ -11,11 +11,12 @@ import hashlib
 import uuid
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.sources import index
+from tessera.sources import index, upserts
 from tessera.sources.store import Files, Namespace
 from tessera.spec import IndexConfig, NamespaceSpec, TextField
 
@@ -73,3 +74,26 @@ def hybrid(spark: SparkSession, sf: str, spec: NamespaceSpec, rows: Callable[[],
         _filled(spark, path, spec, rows())
 
     return Namespace.open(spark, once(spark, sf, ("embeddings", "documents", "labels"), f"hybrid {spec}", make), spec.name)
+
+
+def suppliers(spark: SparkSession, sf: str) -> str:
+    """Folder of a namespace that lived: loaded, named snapshot, deletes by filter and by id, both forms of upserts, a fork, a clone and a compacted fork."""
+    spec = NamespaceSpec("suppliers", 2, "euclidean", index=IndexConfig(nlist=4, quantization="none"))
+
+    def make(path: str) -> None:
+        rows = spark.read.parquet(f"{sf}/supplier.parquet")
+        values = F.array(F.col("s_acctbal").cast("float"), F.col("s_nationkey").cast("float"))
+        main = _filled(spark, path, spec, rows.select(F.col("s_suppkey").alias("id"), values.alias("values"), F.col("s_nationkey").alias("nation"), F.col("s_acctbal").alias("balance")))
+        main.put_snapshot("loaded")
+        main.delete_where({"op": "range", "field": "balance", "lt": 0})
+        main.delete_ids(["1", "2", "3"])
+        deleted = main.manifest()["version"]
+        main.upsert(upserts.from_json(spark, {"vectors": [{"id": "2", "values": [1, 2], "attributes": {"nation": 77}}, {"id": "new", "values": [3, 4]}]}, main.attributes))
+        packed = np.array([[5, 6], [7, 8]], "<f4").tobytes()
+        main.upsert(upserts.from_columns(spark, ["new", "4"], 2, packed, {"balance": [1.5, 2.5]}))
+        child = main.fork("child", "snapshot:loaded")
+        child.delete_where({"op": "eq", "field": "nation", "value": 7})
+        main.clone("copy", deleted)
+        main.fork("packed").compact()
+
+    return once(spark, sf, ("supplier",), "suppliers", make)

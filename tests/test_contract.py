@@ -170,3 +170,27 @@ def test_requests_over_a_namespace(spark, rows, tmp_path):
     assert ids(first) == order[1:] and isinstance(second, DimensionMismatch)
     decision = Decision({"op": "eq", "field": "place", "value": "hills"}, frozenset(), {}, frozenset())
     assert ids(answer(query, shelf, decision)) == [i for i in order if BOOKS[i][1] == "hills"]
+
+
+def test_late_interaction_source(spark):
+    import pytest
+
+    from tessera.errors import DimensionMismatch, ValidationError
+    from tessera.plans.request import Plan, execute
+    from tessera.spec import NamespaceSpec
+
+    spec = NamespaceSpec("late", 2)
+    rows = spark.createDataFrame([("a", [[1.0, 0.0], [0.0, 2.0]]), ("b", [[3.0, 0.0]]), ("c", []), ("d", None)], "id string, matrix array<array<double>>")
+    source = {"type": "late_interaction", "field": "matrix", "vectors": [[1.0, 0.0], [0.0, 1.0]]}
+    ask = {"sources": [source], "include_attributes": False}
+    got = [(r["id"], r["score"]) for r in execute(ask, rows, spec).results.collect()]
+    assert got == [("a", 3.0), ("b", 3.0)]
+    some = execute({"sources": [source | {"candidates": 10}], "include_attributes": False}, rows, spec).results.collect()
+    assert [(r["id"], r["score"]) for r in some] == got
+    for bad in ({"vectors": []}, {"field": ""}, {"candidates": 0}):
+        with pytest.raises(ValidationError):
+            Plan({"sources": [source | bad]}, spec)
+    with pytest.raises(DimensionMismatch):
+        Plan({"sources": [source | {"vectors": [[1.0], [1.0, 2.0]]}]}, spec)
+    with pytest.raises(ValidationError):
+        execute({"sources": [source | {"field": "other"}]}, rows, spec)
