@@ -18,7 +18,7 @@ from tessera.plans.catalogue import ORACLE, QUERIES
 
 LEAST = 0.9
 SEEDS = (7, 100, 555, 901, 1500)
-TESTED = {"ivf_trained_topk", "hierarchical_topk", "two_bit_rerank_topk", "fde_late_topk", "stemmed_bm25", "encoder_coverage"}
+TESTED = {"ivf_trained_topk", "hierarchical_topk", "two_bit_rerank_topk", "fde_late_topk", "stemmed_bm25"}
 
 
 @pytest.fixture(scope="module")
