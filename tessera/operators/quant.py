@@ -1,4 +1,4 @@
-"""Quantized codes: 8-bit scalar, product, and 2-bit codes of rotated residuals."""
+"""Quantized codes: 8-bit scalar, product, and 2-bit and 1-bit codes of rotated residuals."""
 
 from __future__ import annotations
 
@@ -160,30 +160,64 @@ def two_bit(residual: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return code, norm, (code * unit).sum(1) / length
 
 
+def one_bit(residual: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Signs (-1, 1) of rotated residuals, their norms, and the dot of each code with its unit residual."""
+    norm = np.linalg.norm(residual, axis=1)
+    unit = residual / np.where(norm > 0, norm, 1)[:, None]
+    return np.where(unit < 0, -1.0, 1.0), norm, np.abs(unit).sum(1) / np.sqrt(residual.shape[1])
+
+
+def four_bit_query(query: np.ndarray, seed: int = 7) -> np.ndarray:
+    """The query in 16 equal steps from its least to its greatest number, rounded at random with the seed's draws so that sums have no bias."""
+    low, step = query.min(), (query.max() - query.min()) / 15
+    if step == 0:
+        return query.copy()
+    draws = np.random.default_rng(seed).random(len(query))
+    return low + step * np.clip(np.floor((query - low) / step + draws), 0, 15)
+
+
 def two_bit_scores(code: np.ndarray, norm: np.ndarray, fit: np.ndarray, query: np.ndarray, metric: str, query_norm: float | None = None) -> np.ndarray:
-    """Estimated distances of rotated codes to a rotated query, both relative to the same centroid."""
+    """Estimated distances of rotated codes to a rotated query, both relative to the same centroid.
+
+    ``query_norm`` is the norm of the query itself where ``query`` is a coarser form of it.
+    """
     length = np.linalg.norm(code, axis=1)
     cross = norm * (code @ query) / np.where(length * fit > 0, length * fit, 1)
     if metric == "dot_product":
         return -cross
-    squared = norm**2 + (query @ query) - 2 * cross
+    squared = norm**2 + (query @ query if query_norm is None else query_norm**2) - 2 * cross
     return squared if metric == "euclidean" else squared / 2
 
 
-def two_bit_topk(rows: DataFrame, vector: Sequence[float], metric: str, k: int, centroid: Sequence[float] | None = None, seed: int = 7) -> DataFrame:
-    """Best k rows by 2-bit estimates against one centroid (the origin by default). Vectors of a cosine namespace are taken at length 1."""
+def two_bit_topk(
+    rows: DataFrame,
+    vector: Sequence[float],
+    metric: str,
+    k: int,
+    centroid: Sequence[float] | None = None,
+    seed: int = 7,
+    encode=two_bit,
+    rotate: bool = True,
+    four_bits: bool = False,
+) -> DataFrame:
+    """Best k rows by 2-bit estimates against one centroid (the origin by default). Vectors of a cosine namespace are taken at length 1.
+
+    ``encode`` may be ``one_bit``; ``four_bits`` takes the query in its 4-bit form.
+    """
     q = np.asarray(vector, np.float64)
     rotation, c = Rotation(len(q), seed), np.zeros(len(q)) if centroid is None else np.asarray(centroid, np.float64)
+    turn = rotation.apply if rotate else np.asarray
     q = q / np.linalg.norm(q) if metric == "cosine" else q
     offset = float(q @ c)
-    query = rotation.apply(q[None] if metric == "dot_product" else (q - c)[None])[0]
+    whole = turn(q[None] if metric == "dot_product" else (q - c)[None])[0]
+    query, size = four_bit_query(whole, seed) if four_bits else whole, float(np.linalg.norm(whole))
 
     @F.arrow_udf(T.DoubleType())
     def estimate(values: pa.Array) -> pa.Array:
         x = values.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(values), -1)
         if metric == "cosine":
             x /= np.linalg.norm(x, axis=1, keepdims=True)
-        out = two_bit_scores(*two_bit(rotation.apply(x - c)), query, metric)
+        out = two_bit_scores(*encode(turn(x - c)), query, metric, size)
         return pa.array(out - offset if metric == "dot_product" else out)
 
     return ordered(rows.select("id", estimate("values").alias("score")), k)

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.operators import ann, governance, late, quant
+from tessera.operators import ann, codecs, governance, late, quant
 from tessera.operators.distance import centered, dot, literal, norm
 from tessera.plans import request as requests
 from tessera.plans import sizing, stored
@@ -191,9 +191,74 @@ def late_overlay(spark, sf):
     return rounded(late.overlay(scored, log, touched, 10), "score")
 
 
+def HALF(x: str) -> str:  # noqa: N802
+    """A number as the nearest half float, of two equally near ones the even one."""
+    step = f"pow(2.0, greatest(floor(log2(abs({x}))), -14) - 10)"
+    return f"CASE WHEN {x} = 0 THEN 0.0 ELSE round_even({x} / {step}, 0) * {step} END"
+
+
+def stored_maxsim_sql(values: str) -> str:
+    """MaxSim of rows whose stored numbers are ``values``."""
+    return f"""WITH qs AS (SELECT vec_id AS q, embedding AS e FROM embeddings WHERE vec_id < 3), {values},
+ best AS (SELECT vec_id // 5 AS id, q, max({DOT('v', 'e')}) AS m FROM held, qs GROUP BY 1, 2), ms AS (SELECT id, sum(m) AS s FROM best GROUP BY id)
+ SELECT id, {R('s')} AS score FROM ms ORDER BY s DESC, CAST(id AS VARCHAR) LIMIT 10"""
+
+
+def stored_maxsim(spark, sf, group: int | None) -> DataFrame:
+    kept = matrices(spark, sf).select("id", codecs.packed(F.col("matrix"), group).alias("bytes"))
+    return rounded(late.maxsim_matrices(kept.select("id", codecs.unpacked(F.col("bytes")).alias("matrix")), queried(spark, sf), 10), "score")
+
+
+@register("matrix_half_maxsim", stored_maxsim_sql(f"held AS (SELECT vec_id, list_transform(CAST(embedding AS DOUBLE[]), lambda x: {HALF('x')}) AS v FROM embeddings)"))
+def matrix_half_maxsim(spark, sf):
+    return stored_maxsim(spark, sf, None)
+
+
+@register(
+    "matrix_int8_maxsim",
+    stored_maxsim_sql(
+        f"""parts AS (SELECT vec_id, g, list_transform(CAST(embedding AS DOUBLE[])[g * 32 + 1:g * 32 + 32], lambda x: x) AS p FROM embeddings, range(2) t(g)),
+ scaled AS (SELECT vec_id, g, p, list_max(list_transform(p, lambda x: abs(x))) / 127.0 AS s FROM parts),
+ coded AS (SELECT vec_id, g, s, list_transform(p, lambda x: CASE WHEN s = 0 THEN 0.0 ELSE round_even(x / s, 0) END) AS c FROM scaled),
+ sized AS (SELECT vec_id, sqrt(sum(s * s * list_dot_product(c, c))) AS size FROM coded GROUP BY vec_id),
+ folded AS (SELECT vec_id, g, c, CASE WHEN size = 0 THEN 0.0 ELSE s / size END AS f FROM coded JOIN sized USING (vec_id)),
+ halves AS (SELECT vec_id, g, c, {HALF('f')} AS h FROM folded),
+ held AS (SELECT vec_id, flatten(list(list_transform(c, lambda x: x * h) ORDER BY g)) AS v FROM halves GROUP BY vec_id)"""
+    ),
+)
+def matrix_int8_maxsim(spark, sf):
+    return stored_maxsim(spark, sf, 32)
+
+
 # vectors, codes and trained structures
 
 
+SIGNS = f"{Q}, u AS (SELECT list_transform(CAST(e AS DOUBLE[]), lambda x: x / sqrt({DOT('e', 'e')})) AS u FROM q)"
+ONE_BIT = "list_dot_product(list_transform(embedding, lambda x: CASE WHEN x < 0 THEN -1.0::DOUBLE ELSE 1.0::DOUBLE END), {}) * sqrt(" + DOT("embedding", "embedding") + ") / list_sum(list_transform(CAST(embedding AS DOUBLE[]), lambda x: abs(x)))"
+
+
+def one_bit_sql(query: str, more: str = "") -> str:
+    return f"WITH {SIGNS}{more} SELECT id, {R('raw')} AS score FROM (SELECT vec_id AS id, 1 - {ONE_BIT.format(query)} AS raw FROM embeddings, u{', w' if more else ''}) ORDER BY raw, CAST(id AS VARCHAR) LIMIT 10"
+
+
+@register("one_bit_topk", one_bit_sql("u"))
+def one_bit_topk(spark, sf):
+    """Codes of the vectors as they are: a rotation is drawn at random, which SQL can't repeat."""
+    return rounded(quant.two_bit_topk(vectors(spark, sf), vector(spark, sf), "cosine", 10, encode=quant.one_bit, rotate=False), "score")
+
+
+DRAWS = ", ".join(repr(float(x)) + "::DOUBLE" for x in np.random.default_rng(7).random(64))
+
+
+@register(
+    "one_bit_query4_topk",
+    one_bit_sql("w", f", b AS (SELECT u, list_min(u) AS low, (list_max(u) - list_min(u)) / 15 AS step FROM u), w AS (SELECT list_transform(list_zip(u, [{DRAWS}]), lambda z: low + step * greatest(0, least(15, floor((z[1] - low) / step + z[2])))) AS w FROM b)"),
+)
+def one_bit_query4_topk(spark, sf):
+    return rounded(quant.two_bit_topk(vectors(spark, sf), vector(spark, sf), "cosine", 10, encode=quant.one_bit, rotate=False, four_bits=True), "score")
+
+
+
 @register("rotation_keeps_products", f"WITH {Q} SELECT vec_id AS id, {R(DOT('embedding', 'e'))} AS product, {R('sqrt(' + DOT('embedding', 'embedding') + ')')} AS norm FROM embeddings, q")
 def rotation_keeps_products(spark, sf):
     rotation = quant.Rotation(64)

@@ -5,7 +5,7 @@ import pytest
 
 from tessera.errors import Denied, ValidationError
 from tessera.functions.stemmer import stem
-from tessera.operators import ann, late, quant
+from tessera.operators import ann, codecs, late, quant
 from tessera.operators.governance import Grant, decide, stamped, violations
 from tessera.plans import sizing
 from tessera.spec import IndexConfig, NamespaceSpec, TextField, cluster_count, default_nprobe
@@ -106,3 +106,38 @@ def test_rules():
 def test_stemmer():
     pairs = {"running": "run", "happiness": "happi", "flies": "fli", "agreed": "agre", "hoping": "hope", "hopping": "hop", "relational": "relat", "generously": "generous", "skies": "sky", "national": "nation"}
     assert {w: stem(w) for w in pairs} == pairs
+
+
+def test_matrix_codecs(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(7, 64))
+    assert np.array_equal(codecs.unpack(codecs.pack(x)), x.astype(np.float16).astype(np.float64))
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    back = codecs.unpack(codecs.pack(x, 32))
+    assert np.abs(np.linalg.norm(back, axis=1) - 1).max() < 1e-3 and (back * unit).sum(1).min() > 0.999
+    assert not codecs.unpack(codecs.pack(np.zeros((2, 16)), 16)).any()
+    assert codecs.unpack(codecs.pack([])).shape == (0, 0)
+    for bad in (lambda: codecs.pack([[np.inf]]), lambda: codecs.pack([[1e6]]), lambda: codecs.pack(x, 48), lambda: codecs.unpack(b"TMXH"), lambda: codecs.unpack(codecs.pack(x)[:-1])):
+        with pytest.raises(ValidationError):
+            bad()
+    df = spark.createDataFrame([(1, [[1.0, 2.0]]), (2, None), (3, [])], "id long, matrix array<array<double>>")
+    got = df.select("id", codecs.packed(df["matrix"]).alias("b"))
+    assert [r[0] for r in got.select(codecs.unpacked(got["b"]).alias("m"), "id").orderBy("id").select("m").collect()] == [[[1.0, 2.0]], None, []]
+
+
+@pytest.mark.parametrize("metric", ["cosine", "euclidean", "dot_product"])
+def test_one_bit_codes(data, metric):
+    x, df = data
+    want = nearest(x, x[5], metric, 10)
+    for four_bits in (False, True):
+        found = [r["id"] for r in quant.two_bit_topk(df, x[5], metric, 120, encode=quant.one_bit, four_bits=four_bits).collect()]
+        assert recall(found, want) >= 0.9
+
+
+def test_four_bit_query_has_no_bias():
+    q = np.random.default_rng(3).normal(size=256)
+    step = (q.max() - q.min()) / 15
+    forms = np.stack([quant.four_bit_query(q, seed) for seed in range(400)])
+    assert np.abs(forms - q).max() <= step + 1e-9
+    assert np.abs(forms.mean(axis=0) - q).max() < 0.2 * step
+    assert np.array_equal(quant.four_bit_query(np.ones(4)), np.ones(4))
