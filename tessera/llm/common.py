@@ -33,6 +33,15 @@ def saved(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def dropped(df: DataFrame) -> None:
+    """Delete the checkpoint of a saved table that nothing reads any more."""
+    spark = df.sparkSession
+    file = df._jdf.queryExecution().logical().rdd().getCheckpointFile()
+    if file.isDefined():
+        path = spark._jvm.org.apache.hadoop.fs.Path(file.get())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def released(spark: SparkSession) -> None:
     """Let go of what finished steps hold.
 

@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import pathlib
 import random
 import re
 import struct
@@ -10,6 +11,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -523,6 +525,36 @@ def test_kneser_ney_over_words(spark):
     assert none[0]["kept"] and not none[1]["kept"]
 
 
+def test_words_by_shards_and_turns(spark, monkeypatch):
+    """Shards, turns and words without a rank change nothing, and what is kept on disk is small beside the n-grams."""
+    rng = random.Random(31)
+    lexicon = ["".join(rng.choices("abcdefgh", k=rng.randint(2, 6))) for _ in range(300)]
+    texts = [" ".join(rng.choices(lexicon, k=rng.randint(100, 700))) for _ in range(100)] + ["x" * 500, None, "", "\x1c a\u00a0b\u3000"]
+    texts[90] = texts[3]
+    labels = spark.createDataFrame([(i, 1) for i in range(0, 101, 2)], "doc_id long, quality int")
+    docs = table(spark, texts).repartition(3)
+    folder = pathlib.Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file:"))
+    used = lambda: sum(f.stat().st_size for f in folder.rglob("part-*"))
+    before = used()
+    want = by_id(kn_quality.quality_classifier(docs, labels, order=3, words=True))
+    assert used() - before < 40 * sum(len((t or "").split()) for t in texts[:101:2])
+    monkeypatch.setattr(kn_quality, "FREQUENT", 50)
+    got = by_id(kn_quality.quality_classifier(docs, labels, order=3, words=True, shard_words=2500, passes=2))
+    for i in want:
+        assert got[i]["perplexity"] == (want[i]["perplexity"] and pytest.approx(want[i]["perplexity"], rel=1e-9))
+        assert got[i]["n_scored"] == len((texts[i] or "").split())
+
+
+def test_words_as_python_splits_them():
+    points = [c for c in range(1, 0x110000) if not 0xD800 <= c < 0xE000]
+    texts = [f"a{chr(c)}b" for c in points] + ["", "  ", " a a ", "é" * 100 + " é"]
+    ids, distinct, n = kn_quality.split_words(pa.array(texts))
+    words = [w for t in texts for w in t.split()]
+    assert n.tolist() == [len(t.split()) for t in texts]
+    assert [distinct[i].as_py() for i in ids[-5:]] == words[-5:] and len(ids) == len(words)
+    assert len(set(kn_quality.hashed(distinct).tolist())) == len(set(words))
+
+
 def test_classifier_without_trusted_rows(spark):
     labels = spark.createDataFrame([], "doc_id long, quality int")
     got = by_id(kn_quality.quality_classifier(table(spark, ["a b", None]), labels))
