@@ -39,10 +39,12 @@ empty table gives an empty result.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import itertools
 import math
 import pickle
+import time
 from collections import Counter
 from collections.abc import Iterator
 
@@ -677,7 +679,9 @@ def _vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _freed(spark: SparkSession) -> None:
-    """Let go of finished steps, the last one too: Spark's scheduler holds that until another job has run."""
+    """Let go of finished steps, the last one too: the scheduler holds that until another job has run, and py4j's thread lets go of what Python dropped a little later."""
+    gc.collect()
+    time.sleep(2)
     spark.range(1).count()
     released(spark)
 
