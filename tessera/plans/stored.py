@@ -60,11 +60,11 @@ def vectors(spark: SparkSession, sf: str, changed: bool = False) -> Namespace:
         rows = spark.read.parquet(f"{sf}/embeddings.parquet").select(F.col("vec_id").alias("id"), F.col("embedding").alias("values"), "label")
         namespace = _filled(spark, path, spec, rows)
         if changed:
-            turned = rows.where("id % 10 = 1 and id < 20000").select(F.col("id").cast("string").alias("id"), F.transform("values", lambda x: -x).alias("values"), F.lit(99).alias("label"))
-            namespace.upsert(turned)
+            turned = rows.where("id % 10 = 1").select(F.col("id").cast("string").alias("id"), F.transform("values", lambda x: -x).alias("values"), F.lit(99).alias("label"))
+            namespace.upsert_all(turned)
             namespace.guarded(lambda held: held.where("cast(id as long) % 10 = 0"))
 
-    return Namespace.open(spark, once(spark, sf, ("embeddings",), f"vectors {changed}", make), "vectors")
+    return Namespace.open(spark, once(spark, sf, ("embeddings",), f"vectors {'all changed' if changed else changed}", make), "vectors")
 
 
 def hybrid(spark: SparkSession, sf: str, spec: NamespaceSpec, rows: Callable[[], DataFrame]) -> Namespace:

@@ -239,6 +239,18 @@ class Namespace:
         """Append rows (id, values, attributes)."""
         return self._append(self.prepared(rows).withColumn("op", F.lit("upsert")))
 
+    def upsert_all(self, rows: DataFrame, most: int = MAX_BATCH) -> dict:
+        """Append rows of any number, in batches of ``most`` at most; all rows of an id are in one batch."""
+        split = rows.withColumn("__part", F.pmod(F.xxhash64("id"), F.lit(max(1, -(-8 * rows.count() // most)))))
+        batches, room = [[]], most
+        for part, n in sorted((r["__part"], r["count"]) for r in split.groupBy("__part").count().collect()):
+            if n > room:
+                batches, room = [*batches, []], most
+            batches[-1].append(part)
+            room -= n
+        done = [self.upsert(split.where(F.col("__part").isin(parts)).drop("__part")) for parts in batches if parts]
+        return done[-1] if done else self.manifest()
+
     def guarded(self, select: Callable[[DataFrame], DataFrame], op: str = "delete") -> dict:
         """A write that depends on what is there: ``select`` takes the strong snapshot and gives the rows to write.
 

@@ -1,11 +1,15 @@
 """The stored index against brute force, and the plans that read it."""
 
+import duckdb
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.operators import text
+from tessera.plans.catalogue import ORACLE, QUERIES
 from tessera.plans.request import answer
 from tessera.sources import index
 from tessera.sources.store import Namespace
@@ -111,3 +115,29 @@ def test_an_empty_namespace(spark, tmp_path):
     namespace.delete_ids(["a"])
     namespace.compact()
     assert namespace.nearest([1.0, 0.0], 3).count() == 0 and namespace.snapshot().count() == 0
+
+
+@pytest.fixture(scope="module")
+def far(tmp_path_factory):
+    """A folder of embeddings, most of whose ids lie beyond 20,000."""
+    x = np.random.default_rng(4).normal(size=(300, 64))
+    ids = [*range(40), *range(20_000, 20_260)]
+    path = tmp_path_factory.mktemp("far")
+    pq.write_table(pa.table({"vec_id": pa.array(ids, pa.int64()), "embedding": pa.array(x.astype(np.float32).tolist(), pa.list_(pa.float32())), "label": pa.array([i % 10 for i in ids], pa.int32())}), path / "embeddings.parquet")
+    return str(path)
+
+
+@pytest.mark.parametrize("name", ["index_log_overlay_filtered"])
+def test_the_log_changes_rows_of_any_id(spark, far, name):
+    con = duckdb.connect()
+    con.execute(f"create view embeddings as select * from '{far}/embeddings.parquet'")
+    assert [(r["id"], r["score"]) for r in QUERIES[name](spark, far).collect()] == con.execute(ORACLE[name]).fetchall()
+
+
+def test_upserts_of_any_number_go_in_batches(spark, tmp_path):
+    namespace = Namespace.create(spark, str(tmp_path), NamespaceSpec("many", 2), T.StructType([]))
+    namespace.upsert_all(spark.createDataFrame([(f"r{i}", [1.0, float(i)]) for i in range(500)], "id string, values array<float>"), most=100)
+    m = namespace.manifest()
+    sizes = [r["count"] for r in namespace.log(m).groupBy("seq").count().collect()]
+    assert len(m["batches"]) > 4 and sum(sizes) == 500 and max(sizes) <= 100
+    assert namespace.snapshot().count() == 500
