@@ -127,7 +127,7 @@ def far(tmp_path_factory):
     return str(path)
 
 
-@pytest.mark.parametrize("name", ["index_log_overlay_filtered"])
+@pytest.mark.parametrize("name", ["index_log_overlay_filtered", "index_log_overlay_topk"])
 def test_the_log_changes_rows_of_any_id(spark, far, name):
     con = duckdb.connect()
     con.execute(f"create view embeddings as select * from '{far}/embeddings.parquet'")
