@@ -2,15 +2,17 @@
 
 Words are runs of letters, digits and underscores, an approximation of the
 Unicode word rules that splits ``can't`` and ``3.5``. Stemming is the English
-Snowball algorithm in an Arrow function over distinct words' arrays; without
-stemming the analyzer is made of built-in functions alone.
+Snowball algorithm in an Arrow function over the distinct words of a batch;
+without stemming the analyzer is made of built-in functions alone.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from dataclasses import replace
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -30,7 +32,28 @@ _WORD = re.compile(r"\w+")
 
 @F.arrow_udf(T.ArrayType(T.StringType()))
 def _stemmed(words: pa.Array) -> pa.Array:
-    return pa.array([None if ws is None else [stem(w) for w in ws] for ws in words.to_pylist()], pa.list_(pa.string()))
+    codes, stems = _stem_codes(words.flatten())
+    ends = np.concatenate([[0], np.cumsum(words.value_lengths().fill_null(0).to_numpy())]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), stems.take(pa.array(codes)), mask=words.is_null())
+
+
+def _stem_codes(words: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """Place of each word's stem among the distinct stems, and those. Only distinct words become Python's."""
+    coded = words.dictionary_encode()
+    stems = pa.array([stem(w) for w in coded.dictionary.to_pylist()], pa.string()).dictionary_encode()
+    return stems.indices.to_numpy()[coded.indices.to_numpy()], stems.dictionary
+
+
+def _stem_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        words = batch.column("__t")
+        lengths = words.value_lengths().fill_null(0).to_numpy().astype(np.int64)
+        if not lengths.sum():
+            continue
+        codes, stems = _stem_codes(words.flatten())
+        held, tf = np.unique(np.repeat(np.arange(len(lengths)), lengths) * len(stems) + codes, return_counts=True)
+        row, code = np.divmod(held, len(stems))
+        yield pa.RecordBatch.from_arrays([stems.take(pa.array(code)), batch.column("id").take(pa.array(row)), pa.array(tf), pa.array(lengths[row])], ["term", "id", "tf", "dl"])
 
 
 def tokens(text: Column, config: TextField = TextField(stemming=False)) -> Column:  # noqa: B008
@@ -54,7 +77,13 @@ def query_tokens(text: str, config: TextField = TextField(stemming=False), last_
 
 
 def postings(docs: DataFrame, key: str, field: str, config: TextField) -> DataFrame:
-    """(term, id, tf, dl): the inverted index of a field. Texts without words are no part of the corpus."""
+    """(term, id, tf, dl): the inverted index of a field. Texts without words are no part of the corpus.
+
+    Stems are counted a row at a time, without a shuffle: an id of several rows has several entries for a term.
+    """
+    if config.stemming:
+        words = docs.where(F.col(field).isNotNull()).select(F.col(key).alias("id"), tokens(F.col(field), replace(config, stemming=False)).alias("__t"))
+        return words.mapInArrow(_stem_counts, f"term string, id {docs.schema[key].dataType.simpleString()}, tf bigint, dl bigint")
     words = docs.where(F.col(field).isNotNull()).select(F.col(key).alias("id"), tokens(F.col(field), config).alias("__t"))
     words = words.withColumn("dl", F.size("__t")).where("dl > 0")
     return words.select("id", "dl", F.explode("__t").alias("term")).groupBy("term", "id").agg(F.count("*").alias("tf"), F.first("dl").cast("long").alias("dl"))

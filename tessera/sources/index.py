@@ -17,7 +17,8 @@ while the namespace grows moderately; every row is assigned to one.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 from functools import reduce
 
 import numpy as np
@@ -36,6 +37,8 @@ TRAINING = 64
 RETRAIN = 5.0
 #: Candidates of the coarse pass for each row wanted.
 WIDER = 4
+#: Of words that go to the stemmer at once.
+BATCH_BYTES = "8m"
 
 
 def centroids_of(rows: DataFrame, n: int, spec: NamespaceSpec, old: np.ndarray | None, added: float) -> np.ndarray | None:
@@ -184,11 +187,29 @@ def answerable(node: dict, indexed: set[str]) -> bool:
 # full text
 
 
+@contextmanager
+def _batches(spark: SparkSession, size: str) -> Iterator[None]:
+    """Meanwhile Arrow batches hold about so many bytes: 10,000 long texts a batch would fill an executor."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    old = spark.conf.get(name, None)
+    spark.conf.set(name, size)
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if old is None else spark.conf.set(name, old)
+
+
 def write_text(rows: DataFrame, key: str, fields: dict[str, TextField], path: str) -> None:
-    """Postings, terms and lengths of text fields. Postings are dealt out by ranges of (field, term, id), so a frequent term takes several files."""
+    """Postings, terms and lengths of text fields. Postings of a field are dealt out by ranges of (term, id), so a frequent term takes several files."""
     spark = rows.sparkSession
-    parts = [fulltext.postings(rows, key, f, c).select(F.lit(f).alias("field"), "term", "id", "tf", "dl") for f, c in fields.items()]
-    reduce(DataFrame.unionByName, parts).repartitionByRange("field", "term", "id").sortWithinPartitions("field", "term", "id").write.option("parquet.block.size", 4 << 20).parquet(f"{path}/postings")
+    parts = []
+    for field, config in fields.items():
+        dealt = fulltext.postings(rows, key, field, config).repartitionByRange("term", "id")
+        if config.stemming:  # after the only shuffle: of a range all rows are in one task
+            dealt = dealt.groupBy("term", "id").agg(F.sum("tf").alias("tf"), F.first("dl").alias("dl"))
+        parts.append(dealt.sortWithinPartitions("term", "id").select(F.lit(field).alias("field"), "term", "id", "tf", "dl"))
+    with _batches(spark, BATCH_BYTES):
+        reduce(DataFrame.unionByName, parts).write.option("parquet.block.size", 4 << 20).parquet(f"{path}/postings")
     stored = spark.read.parquet(f"{path}/postings")
     terms = stored.groupBy("field", "term").agg(F.count("*").alias("df"))
     terms.repartitionByRange("field", "term").sortWithinPartitions("field", "term").write.parquet(f"{path}/terms")

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.functions.stemmer import stem
 from tessera.operators import text
 from tessera.plans.catalogue import ORACLE, QUERIES
 from tessera.plans.request import answer
@@ -141,3 +142,21 @@ def test_upserts_of_any_number_go_in_batches(spark, tmp_path):
     sizes = [r["count"] for r in namespace.log(m).groupBy("seq").count().collect()]
     assert len(m["batches"]) > 4 and sum(sizes) == 500 and max(sizes) <= 100
     assert namespace.snapshot().count() == 500
+
+
+def test_words_reach_the_stemmer_once_and_postings_are_shuffled_once(spark, tmp_path):
+    words = ["running", "runs", "flies", "the", "nation"]
+    docs = spark.createDataFrame([(i, " ".join(words[: i % 6] * 40) if i % 7 else None) for i in range(300)] + [(5, "running again")], "id long, body string")
+    plan = plan_of(text.postings(docs, "id", "body", TextField()))
+    assert "EvalPython" not in plan and "Exchange" not in plan and "MapInArrow" in plan
+    want = {}
+    for i, body in ((r["id"], r["body"]) for r in docs.collect()):
+        kept = [stem(w) for w in (body or "").split() if w != "the"]
+        for w in set(kept):
+            tf, lengths = want.get((w, i), (0, set()))
+            want[w, i] = tf + kept.count(w), lengths | {len(kept)}
+    index.write_text(docs, "id", {"body": TextField()}, str(tmp_path))
+    got = spark.read.parquet(f"{tmp_path}/postings").collect()
+    assert len(got) == len(want) and all(want[r["term"], r["id"]][0] == r["tf"] and r["dl"] in want[r["term"], r["id"]][1] for r in got)
+    stemmed = {r["id"]: r["t"] for r in docs.where("id <> 5").select("id", text.tokens(F.col("body"), TextField()).alias("t")).collect()}
+    assert stemmed[7] is None and stemmed[6] == [] and stemmed[8] == ["run", "run"] * 40
