@@ -55,6 +55,15 @@ def test_nearest(spark, made, monkeypatch, name):
     assert np.mean(got) >= LEAST, got
 
 
+def test_hierarchical_takes_few_jobs(spark, made):
+    """The jobs of a query don't grow with the nodes of its tree: there are over 20 here."""
+    spark.sparkContext.setJobGroup("hierarchical", "")
+    rows = QUERIES["hierarchical_topk"](spark, made[0]).collect()
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("hierarchical")
+    spark.sparkContext.setJobGroup("rest", "")
+    assert len(rows) == 10 and len(jobs) <= 12
+
+
 @pytest.mark.xfail(strict=True, reason="50 candidates by the registered encoding: recall 0.6 here; 0.64 on average over 20 queries of sf0.1")
 def test_late(spark, made):
     folder, x = made
